@@ -35,7 +35,7 @@ from .common import release_shuffles, table, text_or_empty, written
 
 LENGTH, MER = 400, 32
 #: Bytes of text that are hashed at once; bytes of a batch; bytes of runs that a task should get.
-STRETCH, BATCH, SHARE = 1 << 22, 1 << 21, 1 << 23
+STRETCH, BATCH, SHARE = 1 << 22, 1 << 21, 3 << 19
 
 U64 = np.uint64
 
@@ -160,14 +160,18 @@ class Level:
         for i in range(8):
             word[: n - 7] = (word[: n - 7] << U64(8)) | self.data[i : n - 7 + i]
         rank, depth = _dense(word), 8
+        fan = 3 if n <= 1 << 21 else 2  # so many ranks fit into 64 bits
         while depth < LENGTH:
-            step = min(depth, LENGTH - depth)
-            size = n - depth - step + 1
-            pair = (rank[:size].astype(U64) << U64(32)) | rank[step : step + size].astype(U64)
-            depth += step
+            reach = min(LENGTH, fan * depth)
+            offsets = sorted({0, *[min(k * depth, reach - depth) for k in range(1, fan)]})
+            size = n - reach + 1
+            keys = np.zeros(size, U64)
+            for o in offsets:
+                keys = (keys << U64(64 // fan)) | rank[o : o + size].astype(U64)
+            depth = reach
             if depth == LENGTH:
-                return _dense(pair[self.starts])
-            rank = _dense(pair)
+                return _dense(keys[self.starts])
+            rank = _dense(keys)
         raise AssertionError
 
     @staticmethod
@@ -225,13 +229,13 @@ def compare_runs(bodies: DataFrame, parts: int) -> DataFrame:
         waiting, size = [], 0
         for batch in batches:
             for key, body, data in zip(batch["key"], batch["body"], batch["data"], strict=True):
+                if waiting and size + len(data) > BATCH:
+                    family.add(waiting)
+                    waiting, size = [], 0
                 names.append((key, body))
                 counts.append(len(data) - LENGTH + 1)
                 waiting.append(data)
                 size += len(data)
-                if size >= BATCH:
-                    family.add(waiting)
-                    waiting, size = [], 0
         if waiting:
             family.add(waiting)
         flags, at, out = family.matched(), 0, []
