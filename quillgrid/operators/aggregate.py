@@ -58,6 +58,18 @@ def keyed(view: View, query: Query, groups: Sequence[str | Sequence], type_name:
     return q.ids().join(view.objects(type_name), "oid").select("*", *exprs), names
 
 
+def folder(op: CustomOp, names: list[str]) -> Callable:
+    def fold(key: tuple, pdf):
+        import pandas as pd
+
+        state = op.start
+        for row in pdf.itertuples(index=False):
+            state = op.step(state, row)
+        return pd.DataFrame([(*key, state)], columns=[*names, op.name])
+
+    return fold
+
+
 def group_by(view: View, groups: Sequence, query: Query, type_name: str, ops: Sequence[Op | CustomOp] = (count_op,)) -> DataFrame:
     """key_1 .. key_n and a column for each op.  Rows with none of a list's tags are left out."""
     if isinstance(groups, str):
@@ -68,14 +80,7 @@ def group_by(view: View, groups: Sequence, query: Query, type_name: str, ops: Se
     for o in (o for o in ops if isinstance(o, CustomOp)):
         fields = T.StructType([*[rows.schema[n] for n in names], T.StructField(o.name, T._parse_datatype_string(o.kind))])
 
-        def fold(key: tuple, pdf, o=o):
-            import pandas as pd
-
-            state = o.start
-            for row in pdf.itertuples(index=False):
-                state = o.step(state, row)
-            return pd.DataFrame([(*key, state)], columns=[*names, o.name])
-
+        fold = folder(o, names)
         own = rows.groupBy(*names).applyInPandas(fold, fields)
         out = out.join(own, [out[n].eqNullSafe(own[n]) for n in names]).select(out["*"], own[o.name])
     return out.drop("_n")

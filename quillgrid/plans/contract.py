@@ -1,4 +1,265 @@
 """The registered queries over the driver's tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import collections as C
+from ..functions.text import taggify
+from ..operators import aggregate as A
+from ..operators import diff as D
+from ..operators.query import Query, View, numbered
+from ..sources.fixtures import history, view
+from .ir import At, Ids, Tag, Type, no
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str) -> Callable:
+    def register(f: Callable) -> Callable:
+        QUERIES[name] = f
+        ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def key():
+    """The driver's key of an object."""
+    return F.shiftright("oid", 4)
+
+
+def keys(q: Query) -> DataFrame:
+    return q.ids().select(key().alias("o_orderkey"))
+
+
+def found(name: str, where: str, make: Callable[[View], Query]) -> None:
+    """A find() over orders against a WHERE clause."""
+    query(name, f"SELECT o_orderkey FROM orders WHERE {where}")(lambda s, d: keys(make(view(s, d))))
+
+
+def customer(key: int) -> Tag:
+    return Tag(str(key * 16 + 3), "obj")
+
+
+ORDERS = Type("orders")
+found("find_tag", "o_orderstatus = 'F'", lambda v: v.find(ORDERS, "F"))
+found("find_unknown_tag", "false", lambda v: v.find(ORDERS, "no such tag"))
+found("find_and", "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'", lambda v: v.find(ORDERS, ("F", "1-URGENT")))
+found("find_or", "o_orderstatus = 'P' OR o_orderpriority = '1-URGENT'", lambda v: v.find(ORDERS, ["P", "1-URGENT"]))
+found("find_not", "o_orderstatus <> 'F' AND o_orderpriority <> '1-URGENT'", lambda v: v.find(ORDERS, no("F", "1-URGENT")))
+found("find_nested", "(o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_orderpriority = '2-HIGH')) AND NOT o_orderpriority = '5-LOW'", lambda v: v.find(ORDERS, ["F", ("O", "2-HIGH")], no("5-LOW")))
+found("find_enum", "o_orderpriority = '3-MEDIUM'", lambda v: v.find(ORDERS, Tag("Priority.3-MEDIUM", "enum")))
+found("find_scoped_tag", "o_orderstatus = 'O'", lambda v: v.find(ORDERS, Tag("O", "field", "status")))
+found("find_objtag", "o_custkey = 7", lambda v: v.find(ORDERS, customer(7)))
+found("find_identity", "o_orderkey IN (1, 2, 3, 5, 8) AND o_orderstatus = 'O'", lambda v: v.find(Ids(tuple(k * 16 + 6 for k in (1, 2, 3, 5, 8))), v.find(ORDERS, "O")))
+found("find_subquery", "floor(o_totalprice) BETWEEN 100000 AND 200000 AND o_orderstatus = 'F'", lambda v: v.find(ORDERS, v.select("price", 100000, 200000), v.find("F")))
+found("find_except_query", "o_orderstatus = 'F' AND NOT floor(o_totalprice) <= 150000", lambda v: v.find(ORDERS, "F", no(v.select("price", None, 150000, True))))
+found("filter_expr", "o_orderstatus = 'F' AND o_totalprice > 3e5", lambda v: v.find(ORDERS, "F").filter("orders", "o_totalprice > 3e5"))
+found("filter_python", "o_orderstatus = 'F' AND o_totalprice > 3e5", lambda v: v.find(ORDERS, "F").filter("orders", lambda r: r.o_totalprice > 3e5))
+found("range_inclusive", "floor(o_totalprice) BETWEEN 50000 AND 60000", lambda v: v.select("price", 50000, 60000))
+found("range_low", "o_custkey % 10 >= 5 OR o_custkey % 10 = 0", lambda v: v.select("custmod", 5))
+found("range_high", "o_custkey % 10 BETWEEN 1 AND 5", lambda v: v.select("custmod", None, 5))
+found("range_nulls_first", "o_custkey % 10 <= 5", lambda v: v.select("custmod", None, 5, null_first=True))
+found("range_all", "true", lambda v: v.select("custmod"))
+found("set_intersect", "o_orderstatus = 'O' AND o_orderpriority = '5-LOW'", lambda v: v.find(v.find("O"), v.find("5-LOW")))
+found("set_union", "o_orderstatus = 'O' OR o_orderpriority = '5-LOW'", lambda v: v.find([v.find("O"), v.find("5-LOW")]))
+
+
+@query("find_type", "SELECT 'customer' AS kind, c_custkey AS key FROM customer UNION ALL SELECT 'supplier', s_suppkey FROM supplier")
+def find_type(s, d):
+    """A base class finds its subclasses."""
+    return view(s, d).find(Type("party")).ids().select(F.when(F.col("oid") % 16 == 3, "customer").otherwise("supplier").alias("kind"), key().alias("key"))
+
+
+def ordered(name: str, order: str, make: Callable[[View], Query], where: str = "o_orderstatus = 'F'", keep: str = "true", at: str = "rn") -> None:
+    """A sort, with places from 0, against row_number()."""
+    query(name, f"SELECT CAST({at} AS BIGINT) AS at, o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {order}) - 1 AS rn FROM orders WHERE {where}) WHERE {keep}")(
+        lambda s, d: numbered(make(view(s, d))).select("at", key().alias("o_orderkey"))
+    )
+
+
+M = "nullif(o_custkey % 10, 0)"
+ordered("sort_asc_nulls_last", f"{M} ASC NULLS LAST, o_orderkey", lambda v: v.sort("custmod", v.find(ORDERS, "F")))
+ordered("sort_asc_nulls_first", f"{M} ASC NULLS FIRST, o_orderkey", lambda v: v.sort("custmod", v.find(ORDERS, "F"), null_first=True))
+ordered("sort_desc_default", f"{M} DESC NULLS FIRST, o_orderkey DESC", lambda v: v.sort("custmod", v.find(ORDERS, "F"), desc=True))
+ordered("sort_desc_nulls_last", f"{M} DESC NULLS LAST, o_orderkey DESC", lambda v: v.sort("custmod", v.find(ORDERS, "F"), desc=True, null_first=True))
+ordered("sort_multi", f"{M} ASC NULLS LAST, floor(o_totalprice) DESC, o_orderkey", lambda v: v.sort("custmod", v.sort("price", v.find(ORDERS, "F"), desc=True)))
+ordered("topk", "floor(o_totalprice) DESC, o_orderkey DESC", lambda v: v.sort("price", v.find(ORDERS, "F"), desc=True)[:10], keep="rn < 10")
+ordered("slice_step", "floor(o_totalprice), o_orderkey", lambda v: v.sort("price", v.find(ORDERS, "F"))[10:100:7], keep="rn >= 10 AND rn < 100 AND (rn - 10) % 7 = 0", at="(rn - 10) // 7")
+ordered("slice_then_sort", "floor(o_totalprice), o_orderkey", lambda v: v.sort("price", v.find(ORDERS, "F")[:25]), keep="rn < 25")
+ordered("slice_unsorted", "o_orderkey DESC", lambda v: v.find(ORDERS, "F")[5:15], keep="rn >= 5 AND rn < 15", at="rn - 5")
+
+
+@query("item_pick", "SELECT CAST(rn AS BIGINT) AS at, o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY floor(o_totalprice), o_orderkey) - 1 AS rn FROM orders) WHERE rn IN (3, 6, 7)")
+def item_pick(s, d):
+    v = view(s, d)
+    got = v.sort("price", v.find(ORDERS))[3, 6, 7]
+    return s.createDataFrame([(at, oid >> 4) for at, oid in zip((3, 6, 7), got, strict=True)], "at long, o_orderkey long")
+
+
+@query("split_exclusive", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN '1-URGENT' ELSE 'F' END AS tag FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderstatus = 'F'")
+def split_exclusive(s, d):
+    v = view(s, d)
+    return v.split_by(["1-URGENT", "F"], v.find(ORDERS)).ids().select(key().alias("o_orderkey"), F.col("tag_1").alias("tag"))
+
+
+@query("split_all", "SELECT o_orderkey, '1-URGENT' AS tag FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_orderkey, 'F' FROM orders WHERE o_orderstatus = 'F'")
+def split_all(s, d):
+    v = view(s, d)
+    return v.split_by(["1-URGENT", "F"], v.find(ORDERS), exclusive=False).ids().select(key().alias("o_orderkey"), F.col("tag_1").alias("tag"))
+
+
+DAY = "CAST(o_orderdate AS DATE)"
+CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
+
+
+@query("group_count", f"SELECT {DAY} AS key_1, count(*) AS count FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT' GROUP BY 1")
+def group_count(s, d):
+    v = view(s, d)
+    return A.group_by(v, [DAY], v.find(ORDERS, "F", no("1-URGENT")), "orders")
+
+
+@query("group_sum", f"SELECT o_orderpriority AS key_1, CAST(sum({CENTS}) AS BIGINT) AS cents, count(*) AS count FROM orders GROUP BY 1")
+def group_sum(s, d):
+    v = view(s, d)
+    return A.group_by(v, ["o_orderpriority"], v.find(ORDERS), "orders", [A.make_sum(CENTS, "cents"), A.count_op])
+
+
+@query("group_tag", "SELECT o_orderstatus AS key_1, count(*) AS count FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
+def group_tag(s, d):
+    v = view(s, d)
+    return A.group_by(v, [["F", "O"]], v.find(ORDERS), "orders")
+
+
+@query("group_multi", "SELECT o_orderstatus AS key_1, o_custkey % 2 AS key_2, count(*) AS count FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY 1, 2")
+def group_multi(s, d):
+    v = view(s, d)
+    return A.group_by(v, [["F", "P"], "o_custkey % 2"], v.find(ORDERS), "orders")
+
+
+@query("group_custom", "SELECT o_orderpriority AS key_1, floor(max(o_totalprice))::DOUBLE AS highest FROM orders GROUP BY 1")
+def group_custom(s, d):
+    v = view(s, d)
+    op = A.CustomOp("highest", 0.0, lambda state, row: max(state, float(row.o_totalprice // 1)))
+    return A.group_by(v, ["o_orderpriority"], v.find(ORDERS), "orders", [op])
+
+
+def last_events(day: int) -> str:
+    return f"(SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events WHERE dayofmonth(ts) <= {day} GROUP BY user_id)"
+
+
+@query("group_delta", f"SELECT event_type AS key_1, count(*) AS count, CAST(sum(event_id) AS BIGINT) AS ids FROM {last_events(20)} WHERE event_type <> 'error' GROUP BY 1")
+def group_delta(s, d):
+    """A kept result of day 10 brought to day 20 by the difference."""
+    fast, ops = A.FastQuery(), [A.count_op, A.make_sum("event_id", "ids")]
+    for day in (10, 20):
+        v = history(s, d, day)
+        out = fast.group_by(v, ["event_type"], v.find(Type("users"), no("error")), "users", ops)
+    return out
+
+
+@query("join_tag2", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1")
+def join_tag2(s, d):
+    v = view(s, d)
+    on = v.find(Type("nation"), Tag(str(1 * 16 + 1), "obj"))
+    return v.join(Type("customer"), Type("supplier"), on=on).select(F.shiftright("oid_1", 4).alias("c_custkey"), F.shiftright("oid_2", 4).alias("s_suppkey"))
+
+
+@query("join_tag3", "SELECT c.c_custkey, s.s_suppkey, t.s_suppkey AS other FROM customer c JOIN supplier s ON c_nationkey = s.s_nationkey JOIN supplier t ON t.s_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 5")
+def join_tag3(s, d):
+    v = view(s, d)
+    on = v.find(Ids(tuple(k * 16 + 2 for k in range(5))))
+    out = v.join(v.find(Type("customer"), "BUILDING"), Type("supplier"), Type("supplier"), on=on)
+    return out.select(*[F.shiftright(f"oid_{i}", 4).alias(n) for i, n in ((1, "c_custkey"), (2, "s_suppkey"), (3, "other"))])
+
+
+@query("snap_at", f"SELECT user_id, event_id FROM {last_events(12)} WHERE event_type = 'purchase'")
+def snap_at(s, d):
+    v = history(s, d, 12)
+    return v.find(Type("users"), "purchase").rows("users").select("user_id", "event_id")
+
+
+@query("snap_intersect", f"SELECT a.user_id FROM {last_events(12)} a JOIN {last_events(18)} b ON a.user_id = b.user_id WHERE a.event_type = 'click' AND b.event_type = 'click'")
+def snap_intersect(s, d):
+    v = history(s, d)
+    return v.find(At(Tag("click"), 12), At(Tag("click"), 18)).ids().select(key().alias("user_id"))
+
+
+@query("select_new", f"SELECT user_id FROM {last_events(18)} WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM {last_events(12)} WHERE event_type = 'click')")
+def select_new(s, d):
+    a, b = history(s, d, 12), history(s, d, 18)
+    return D.select_new(b.find("click"), a, b).select(key().alias("user_id"))
+
+
+@query("select_deleted", f"SELECT user_id FROM {last_events(12)} WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM {last_events(18)} WHERE event_type = 'click')")
+def select_deleted(s, d):
+    a, b = history(s, d, 12), history(s, d, 18)
+    return D.select_deleted(b.find("click"), a, b).select(key().alias("user_id"))
+
+
+@query("select_modified", f"SELECT a.user_id, a.event_id AS old_event, b.event_id AS new_event FROM {last_events(12)} a JOIN {last_events(18)} b ON a.user_id = b.user_id WHERE a.event_id < b.event_id")
+def select_modified(s, d):
+    a, b = history(s, d, 12), history(s, d, 18)
+    return D.select_modified(b.find(Type("users")), a, b, "users").select(key().alias("user_id"), F.col("old.event_id").alias("old_event"), F.col("new.event_id").alias("new_event"))
+
+
+@query("split_snapshots", f"SELECT a.user_id, a.event_id AS e1, b.event_id AS e2 FROM {last_events(12)} a JOIN {last_events(18)} b ON a.user_id = b.user_id WHERE b.event_type = 'view'")
+def split_snapshots(s, d):
+    a, b = history(s, d, 12), history(s, d, 18)
+    return D.split_by_snapshots(b.find("view"), a, b, type_name="users").select(key().alias("user_id"), F.col("s1.event_id").alias("e1"), F.col("s2.event_id").alias("e2"))
+
+
+@query("reference_traversal", "SELECT o_orderkey, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus = 'P'")
+def reference_traversal(s, d):
+    v = view(s, d)
+    t = v.types
+    rows = v.find(ORDERS, "P").rows("orders").drop("oid")
+    return rows.join(t["customer"].drop("oid"), F.col("o_custkey") == F.col("c_custkey")).join(t["nation"].drop("oid"), F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"].drop("oid"), F.col("n_regionkey") == F.col("r_regionkey")).select("o_orderkey", "n_name", "r_name")
+
+
+def arrays(s, d):
+    o = view(s, d).types["orders"]
+    return o.select("o_orderkey", F.array(F.col("o_orderkey") % 3, F.col("o_orderkey") % 5, F.lit(7)).alias("a"), F.array(F.col("o_orderkey") % 4, F.lit(1)).alias("b"))
+
+
+AB = "(SELECT o_orderkey, [o_orderkey % 3, o_orderkey % 5, 7] AS a, [o_orderkey % 4, 1] AS b FROM orders)"
+T = "array_to_string"
+
+
+def text(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@query("set_ops", f"SELECT o_orderkey, {T}(list_sort(list_distinct(a || b)), ',') AS u, {T}(list_sort(list_distinct(list_filter(a, lambda x: list_contains(b, x)))), ',') AS i, {T}(list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))), ',') AS m, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS sub, len(list_filter(a, lambda x: list_contains(b, x))) = 0 AS dis FROM {AB}")
+def set_ops(s, d):
+    a, b = F.col("a"), F.col("b")
+    return arrays(s, d).select("o_orderkey", text(C.union(a, b)).alias("u"), text(C.intersection(a, b)).alias("i"), text(C.difference(a, b)).alias("m"), C.is_subset(a, b).alias("sub"), C.is_disjoint(a, b).alias("dis"))
+
+
+@query("list_ops", f"SELECT o_orderkey, a[3] AS last, {T}(a || [9], ',') AS app, {T}(a || b, ',') AS ext, CAST(len(list_filter(a, lambda x: x = 1)) AS INTEGER) AS ones, {T}(a[2:3], ',') AS cut, {T}(a[1:2], ',') AS popped FROM {AB}")
+def list_ops(s, d):
+    a, b = F.col("a"), F.col("b")
+    return arrays(s, d).select("o_orderkey", C.get(a, -1).alias("last"), text(C.append(a, F.lit(9).cast("long"))).alias("app"), text(C.extend(a, b)).alias("ext"), C.count(a, F.lit(1).cast("long")).alias("ones"), text(C.cut(a, 1, 3)).alias("cut"), text(C.pop(a)).alias("popped"))
+
+
+@query("dict_ops", "SELECT o_orderkey, o_orderkey % 3 AS got, CAST(-1 AS BIGINT) AS missing, o_custkey AS updated FROM orders")
+def dict_ops(s, d):
+    o = view(s, d).types["orders"]
+    m = F.create_map(F.lit("a"), F.col("o_orderkey") % 3, F.lit("b"), F.col("o_orderkey"))
+    new = C.dict_update(m, F.create_map(F.lit("b"), F.col("o_custkey")))
+    return o.select("o_orderkey", C.dict_get(m, F.lit("a")).alias("got"), C.dict_get(C.dict_pop(m, F.lit("a")), F.lit("a"), F.lit(-1).cast("long")).alias("missing"), C.dict_get(new, F.lit("b")).alias("updated"))
+
+
+@query("taggify_parts", "SELECT p_partkey, array_to_string(list_distinct_ordered, ',') AS tags FROM (SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(p_name, '[\\s\\-_.,;:/|()#]+'), lambda w: upper(substr(regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g'), 1, 3))), lambda w, i: w <> '' AND list_position(list_transform(regexp_split_to_array(p_name, '[\\s\\-_.,;:/|()#]+'), lambda w: upper(substr(regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g'), 1, 3))), w) = i) AS list_distinct_ordered FROM part)")
+def taggify_parts(s, d):
+    return view(s, d).types["part"].select("p_partkey", F.array_join(taggify(F.col("p_name")), ",").alias("tags"))
+
+
+@query("schema_stats", "SELECT 'p_size' AS field, 'int' AS primary_type UNION ALL SELECT 'p_name', 'string' UNION ALL SELECT 'p_retailprice', 'double'")
+def schema_stats(s, d):
+    return A.get_schema(view(s, d).types["part"].select("p_size", "p_name", "p_retailprice")).select("field", "primary_type")
