@@ -20,7 +20,7 @@ from .common import WORD, release_shuffles, table, text_or_empty, written
 
 K, WORDS = 64, 5
 #: Ids of a range that is ordered by one task, and the most ranges.
-RANGE, RANGES = 16_384, 2048
+RANGE, RANGES = 2048, 2048
 
 
 def with_sketch(df: DataFrame, text: str, name: str, k: int = K, words: int = WORDS) -> DataFrame:
