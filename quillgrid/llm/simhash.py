@@ -32,21 +32,8 @@ BLOCK = 1 << 15
 
 def fingerprint(text: str | None, words: int) -> int:
     """The 64-bit fingerprint as a signed integer."""
-    import xxhash
-
-    tokens = (text or "").encode("utf-8", "replace").lower().split()
-    if not tokens:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(tokens) <= words:
-        hashes = [digest(b" ".join(tokens), SEED)]
-    else:
-        hashes = [digest(b" ".join(tokens[i : i + words]), SEED) for i in range(len(tokens) - words + 1)]
-    ones, n = np.zeros(BITS, np.int64), len(hashes)
-    for at in range(0, n, BLOCK):
-        block = np.array(hashes[at : at + BLOCK], ">u8")
-        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">i8")[0])
+    hashes = shingle_hashes(text, words)
+    return bits_of(hashes) if len(hashes) else 0
 
 
 def with_fingerprints(docs: DataFrame, words: int = 3, text: str = "text", name: str = "fp") -> DataFrame:
@@ -99,11 +86,83 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components_of(prints).select("doc_id", hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id; five-word shingles.
+#: Min-hashes of a signature, and how many make a band.
+HASHES, BAND = 200, 8
+_rng = np.random.default_rng(9)
+_TIMES = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    import xxhash
+
+    tokens = (text or "").encode("utf-8", "replace").lower().split()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(b" ".join(tokens[i : i + words]), SEED) for i in range(max(1, len(tokens) - words + 1))] if tokens else [], np.uint64)
 
-    Rows without a word, or with a null id, all stay; so do repeats of the row that stays.
+
+def signature(hashes: np.ndarray) -> bytes:
+    """The least of each of HASHES functions over the shingles, 4 bytes each; equal places estimate Jaccard."""
+    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, (hashes[at : at + 2048, None] * _TIMES + _PLUS).min(axis=0), out=least)
+    return (least >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The fingerprint, from shingle hashes."""
+    ones, n = np.zeros(BITS, np.int64), len(hashes)
+    for at in range(0, n, BLOCK):
+        ones += np.unpackbits(hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n).view(">i8")[0])
+
+
+def near_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of different nodes whose signatures agree in at least ``similarity``; nodes (node, fp, sig), distinct.
+
+    Candidates are the pairs of the covering tables, and each node with the least node of each of its bands; a bucket of
+    m nodes gives m - 1 pairs.  64 bits alone are too few here: at a Jaccard similarity of 0.8 about ten differ, and
+    covering that radius would take 2047 tables.
     """
-    prints = written(with_fingerprints(docs.select("doc_id", "text").filter("doc_id is not null"), 5).select("doc_id", "fp"), "prints")
-    gone = components_of(prints.filter("fp <> 0")).filter("doc_id <> component_id").select(F.col("doc_id").alias("nd_id")).distinct()
+    first = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
+    close = links(nodes.select("fp").distinct())
+    by_fp = close.join(first.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
+    same_fp = nodes.join(first, "fp").select(F.col("node").alias("x"), F.col("rep").alias("y"))
+    width = 4 * BAND
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", width * i + 1, width)) for i in range(HASHES // BAND)])
+    banded = nodes.select("node", F.explode(keys).alias("key"))
+    buckets = banded.groupBy("key").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "rep")
+    by_band = banded.join(buckets, "key").select(F.col("node").alias("x"), F.col("rep").alias("y"))
+    pairs = by_fp.union(same_fp).union(by_band).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    @F.pandas_udf("double")
+    def agreement(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([float((np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).mean()) for a, b in zip(x, y, strict=True)], dtype="float64")
+
+    sig = lambda end, name: nodes.select(F.col("node").alias(end), F.col("sig").alias(name))
+    both = pairs.join(sig("a", "sig_a"), "a").join(sig("b", "sig_b"), "b")
+    return both.filter(agreement("sig_a", "sig_b") >= similarity).select("a", "b")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near-duplicates stays, that of the smallest id.
+
+    Groups are the components of links between texts whose five-word shingles have a (min-hash) similarity of 0.8 or
+    more.  Rows without a word, or with a null id, all stay; so do repeats of the row that stays.
+    """
+
+    @F.pandas_udf("fp long, sig binary")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            hashed = [shingle_hashes(t, words) for t in texts]
+            yield pd.DataFrame({"fp": pd.Series([bits_of(h) if len(h) else 0 for h in hashed], dtype="int64"), "sig": pd.Series([signature(h) if len(h) else None for h in hashed], dtype=object)})
+
+    rows = docs.filter("doc_id is not null").select("doc_id", prints("text").alias("p")).filter("p.sig is not null")
+    rows = written(rows.select("doc_id", "p.fp", "p.sig", F.xxhash64("p.sig", "p.fp").alias("node")), "signatures")
+    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sig").alias("sig"))
+    roots = components(near_links(written(nodes, "nodes"), similarity))
+    rooted = rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
+    gone = rooted.join(least, "root").filter("doc_id <> least").select(F.col("doc_id").alias("nd_id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("nd_id"), "left_anti")

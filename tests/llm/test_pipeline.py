@@ -21,3 +21,29 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, awkward):
     kept = [r["doc_id"] for r in collected(corpus_pipeline.STAGES[1][1](spark, docs, d))]
     assert [i for i in range(10, 16) if i in kept] == [10] and {0, 1, 2, None} <= set(kept)
     assert {r[0] for r in rows if r[0] is not None and (r[0] < 10 or 30 <= r[0] < 40)} <= set(kept)
+
+
+def test_near_duplicate_stage_against_exact_similarity(spark):
+    """Pairs of Jaccard similarity well above 0.8 collapse; texts without any near 0.7 stay."""
+    import collections
+
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, docs, d).collect()}
+    sets = {}
+    where = collections.defaultdict(list)
+    for r in docs.collect():
+        w = r["text"].encode().lower().split()
+        sets[r["doc_id"]] = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+        for x in sets[r["doc_id"]]:
+            where[x].append(r["doc_id"])
+    near = collections.defaultdict(float)
+    for a, s in sets.items():
+        common = collections.Counter(b for x in s for b in where[x] if b != a)
+        for b, n in common.items():
+            j = n / (len(s) + len(sets[b]) - n)
+            near[a] = max(near[a], j)
+            if j >= 0.88:
+                assert not {a, b} <= kept, (a, b, j)
+    assert {a for a in sets if near[a] < 0.68} <= kept
+    assert 0 < len(kept) < len(sets)
