@@ -35,12 +35,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_tables: list[str] = []
+
+
+def forget_tables(docs: DataFrame) -> None:
+    """Delete the tables written so far that ``docs`` doesn't read.
+
+    For a stage whose predecessors' results have been written elsewhere: theirs are no longer needed.
+    """
+    spark = docs.sparkSession
+    used = "\n".join(docs.inputFiles())
+    for path in [p for p in _tables if p.rsplit("/", 1)[1] not in used]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _tables.remove(path)
+    release_shuffles(spark)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again.
 
     A lost executor costs no recomputation of what is written.
     """
     path = fresh_path(df.sparkSession, name)
+    _tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
