@@ -76,7 +76,7 @@ class Prefix:
 
     def put(self, type_name: str, rows: DataFrame) -> None:
         """New objects, or new versions of them: oid and attributes.  Also carries touch() and assign()."""
-        self._stage(f"objects_{type_name}", rows.withColumn("gone", F.lit(False)))
+        self._stage(f"objects_{type_name}", rows.drop("version").withColumn("gone", F.lit(False)))
 
     def delete(self, type_name: str, oids: DataFrame) -> None:
         self._stage(f"objects_{type_name}", oids.select("oid", F.lit(True).alias("gone")))
