@@ -88,6 +88,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Min-hashes of a signature, and how many make a band.
 HASHES, BAND = 200, 8
+#: Nodes of a band's bucket with which all of the bucket are compared.
+REPS = 6
 _rng = np.random.default_rng(9)
 _TIMES = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -120,8 +122,8 @@ def bits_of(hashes: np.ndarray) -> int:
 def near_links(nodes: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) of different nodes whose signatures agree in at least ``similarity``; nodes (node, fp, sig), distinct.
 
-    Candidates are the pairs of the covering tables, and each node with the least node of each of its bands; a bucket of
-    m nodes gives m - 1 pairs.  64 bits alone are too few here: at a Jaccard similarity of 0.8 about ten differ, and
+    Candidates are the pairs of the covering tables, and each node with REPS nodes of each of its bands' buckets, drawn
+    for each bucket anew; a bucket of m nodes gives at most REPS * m pairs.  64 bits alone are too few here: at a Jaccard similarity of 0.8 about ten differ, and
     covering that radius would take 2047 tables.
     """
     first = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
@@ -131,8 +133,9 @@ def near_links(nodes: DataFrame, similarity: float) -> DataFrame:
     width = 2 * BAND
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", width * i + 1, width)) for i in range(HASHES // BAND)])
     banded = nodes.select("node", F.explode(keys).alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "rep")
-    by_band = banded.join(buckets, "key").select(F.col("node").alias("x"), F.col("rep").alias("y"))
+    drawn = [F.min(F.struct(F.xxhash64("node", "key", F.lit(t)).alias("by"), F.col("node").alias("is"))).getField("is") for t in range(REPS)]
+    buckets = banded.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("reps"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "reps")
+    by_band = banded.join(buckets, "key").select(F.col("node").alias("x"), F.explode("reps").alias("y"))
     pairs = by_fp.union(same_fp).union(by_band).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     @F.pandas_udf("double")
