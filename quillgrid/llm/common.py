@@ -38,14 +38,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 _tables: list[str] = []
 
 
-def forget_tables(docs: DataFrame) -> None:
-    """Delete the tables written so far that ``docs`` doesn't read.
+def tables_so_far() -> int:
+    return len(_tables)
+
+
+def forget_tables(docs: DataFrame, since: int = 0) -> None:
+    """Delete the tables written so far (after the first ``since``) that ``docs`` doesn't read.
 
     For a stage whose predecessors' results have been written elsewhere: theirs are no longer needed.
     """
     spark = docs.sparkSession
     used = "\n".join(docs.inputFiles())
-    for path in [p for p in _tables if p.rsplit("/", 1)[1] not in used]:
+    for path in [p for p in _tables[since:] if p.rsplit("/", 1)[1] not in used]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         _tables.remove(path)

@@ -14,6 +14,10 @@ A byte is removed if a LENGTH-byte string that covers it also starts anywhere el
    windows of the two stand together: so every window is compared with all others of its task in a logarithmic number
    of merges.
 
+The pipeline's stage removes, besides, what stands in a repeated passage of WORDS words.  There the same three steps
+run over texts whose words are coded as CODE bytes each (the word's hash), with windows of WORDS codes; spans shrink to
+whole codes.  Windows off the codes' bounds can only add a word if 64 bits agree by chance.
+
 Matches go back to texts as intervals.  The answers depend on bytes only: hashes route and collapse (128 bits or more
 must agree), and what they collapse is never split.
 
@@ -24,16 +28,19 @@ other in whole.  Texts shorter than LENGTH keep all bytes.  Matches may overlap
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release_shuffles, table, text_or_empty, written
+from .common import WORD, forget_tables, release_shuffles, table, tables_so_far, text_or_empty, written
 
 LENGTH, MER = 400, 32
+#: Words of the least repeated passage that the pipeline's stage removes, whatever its bytes; bytes of a word's code.
+WORDS, CODE = 51, 8
 #: Bytes of text that are hashed at once; bytes of a batch; bytes of runs that a task should get.
 STRETCH, BATCH, SHARE = 1 << 22, 1 << 21, 3 << 19
 
@@ -86,22 +93,22 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def runs_of(data: bytes) -> tuple[np.ndarray, ...]:
+def runs_of(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Runs of windows with one key: first window, one past the last window, key, does its string stand twice."""
     firsts, ends, keys, folds = [], [], [], []
-    n = len(data) - LENGTH + 1
+    n = len(data) - length + 1
     whole = np.frombuffer(data, np.uint8)
     for at in range(0, n, STRETCH):  # a run may be cut at a stretch's end: at the same offsets only in equal texts
         to = min(n, at + STRETCH)
-        mers = mer_hashes(whole[at : to + LENGTH - 1])
-        key = sliding_min(mers, LENGTH - MER + 1)
+        mers = mer_hashes(whole[at : to + length - 1])
+        key = sliding_min(mers, length - MER + 1)
         cut = np.flatnonzero(key[1:] != key[:-1]) + 1
         first = np.concatenate([[0], cut])
         end, count = np.append(cut, to - at), np.count_nonzero
         firsts.append(first + at)
         ends.append(end + at)
         keys.append(key[first])
-        folds.append([count(mers[a : b + LENGTH - MER] == k) > 1 for a, b, k in zip(first.tolist(), end.tolist(), key[first], strict=True)])
+        folds.append([count(mers[a : b + length - MER] == k) > 1 for a, b, k in zip(first.tolist(), end.tolist(), key[first], strict=True)])
     return np.concatenate(firsts), np.concatenate(ends), np.concatenate(keys), np.concatenate(folds)
 
 
@@ -112,7 +119,24 @@ def text_key(data: bytes) -> bytes:
     return hashlib.md5(data).digest()
 
 
-def text_runs(docs: DataFrame) -> DataFrame:
+def plain(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def coded(text: str) -> bytes:
+    """The text's words (see WORD), each as a hash of CODE bytes."""
+    import xxhash
+
+    return b"".join(map(xxhash.xxh3_64_digest, plain(text).split()))
+
+
+def uncoded(text: bytes, spans: list) -> list[dict]:
+    """Spans of ``text``, from spans of its code: from the first whole word to the end of the last one."""
+    at = [m.span() for m in re.finditer(WORD.encode(), text)]
+    return [{"a": at[-(-s["a"] // CODE)][0], "b": at[s["b"] // CODE - 1][1]} for s in spans]
+
+
+def text_runs(docs: DataFrame, length: int = LENGTH, encode: Callable[[str], bytes] = plain) -> DataFrame:
     """The runs of all texts: ``docs`` has a column text without nulls."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,13 +146,13 @@ def text_runs(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for text in batch["text"]:
-                data = text.encode("utf-8", "surrogatepass")
-                if len(data) < LENGTH:
+                data = encode(text)
+                if len(data) < length:
                     continue
-                first, end, key, folded = runs_of(data)
+                first, end, key, folded = runs_of(data, length)
                 view = memoryview(data)
-                body = [digest(view[a : b + LENGTH - 1]) for a, b in zip(first.tolist(), end.tolist(), strict=True)]
-                out.append((np.full(len(first), text_key(data), object), first, end, key.view(np.int64), np.array(body, U64).view(np.int64), folded))
+                body = [digest(view[a : b + length - 1]) for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+                out.append((np.full(len(first), text_key(plain(text)), object), first, end, key.view(np.int64), np.array(body, U64).view(np.int64), folded))
             if out:
                 cols = [np.concatenate(x) for x in zip(*out, strict=True)]
                 yield pd.DataFrame(dict(zip(("text_key", "first", "end", "key", "body", "folded"), cols, strict=True)))
@@ -139,9 +163,9 @@ def text_runs(docs: DataFrame) -> DataFrame:
 class Level:
     """A suffix array: windows of a text buffer, sorted; and which of them have an equal."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, matched: np.ndarray):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, matched: np.ndarray, length: int = LENGTH):
         """starts: of the windows in ``data``, in ascending order; matched: of those."""
-        self.data, self.starts = data, starts
+        self.data, self.starts, self.length = data, starts, length
         rank = self._ranks()
         order = np.argsort(rank, kind="stable")
         sorted_rank = rank[order]
@@ -161,22 +185,22 @@ class Level:
             word[: n - 7] = (word[: n - 7] << U64(8)) | self.data[i : n - 7 + i]
         rank, depth = _dense(word), 8
         fan = 3 if n <= 1 << 21 else 2  # so many ranks fit into 64 bits
-        while depth < LENGTH:
-            reach = min(LENGTH, fan * depth)
+        while depth < self.length:
+            reach = min(self.length, fan * depth)
             offsets = sorted({0, *[min(k * depth, reach - depth) for k in range(1, fan)]})
             size = n - reach + 1
             keys = np.zeros(size, U64)
             for o in offsets:
                 keys = (keys << U64(64 // fan)) | rank[o : o + size].astype(U64)
             depth = reach
-            if depth == LENGTH:
+            if depth == self.length:
                 return _dense(keys[self.starts])
             rank = _dense(keys)
         raise AssertionError
 
     @staticmethod
     def merged(a: Level, b: Level) -> Level:
-        return Level(np.concatenate([a.data, b.data]), np.concatenate([a.starts, b.starts + len(a.data)]), np.concatenate([a.matched, b.matched]))
+        return Level(np.concatenate([a.data, b.data]), np.concatenate([a.starts, b.starts + len(a.data)]), np.concatenate([a.matched, b.matched]), a.length)
 
 
 def _dense(x: np.ndarray) -> np.ndarray:
@@ -190,15 +214,16 @@ def _dense(x: np.ndarray) -> np.ndarray:
 class Family:
     """Levels of doubling size; every window added is compared with all others."""
 
-    def __init__(self) -> None:
+    def __init__(self, length: int = LENGTH) -> None:
+        self.length = length
         self.levels: list[tuple[int, Level]] = []
 
     def add(self, bodies: list[bytes]) -> None:
         sizes = np.array([len(x) for x in bodies], np.int64)
         at = np.cumsum(sizes) - sizes
-        windows = sizes - LENGTH + 1
+        windows = sizes - self.length + 1
         starts = np.repeat(at - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
-        new = Level(np.frombuffer(b"".join(bodies), np.uint8), starts, np.zeros(len(starts), bool))
+        new = Level(np.frombuffer(b"".join(bodies), np.uint8), starts, np.zeros(len(starts), bool), self.length)
         self.levels.append((0, new))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (k, b), (_, a) = self.levels.pop(), self.levels.pop()
@@ -221,11 +246,11 @@ def intervals(flags: np.ndarray) -> list[tuple[int, int]]:
 MATCHES = "key long, body long, spans array<struct<a:int,b:int>>"
 
 
-def compare_runs(bodies: DataFrame, parts: int) -> DataFrame:
+def compare_runs(bodies: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
     """Matched windows of runs (key, body, data): spans of window starts within the run."""
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        family, names, counts = Family(), [], []
+        family, names, counts = Family(length), [], []
         waiting, size = [], 0
         for batch in batches:
             for key, body, data in zip(batch["key"], batch["body"], batch["data"], strict=True):
@@ -233,7 +258,7 @@ def compare_runs(bodies: DataFrame, parts: int) -> DataFrame:
                     family.add(waiting)
                     waiting, size = [], 0
                 names.append((key, body))
-                counts.append(len(data) - LENGTH + 1)
+                counts.append(len(data) - length + 1)
                 waiting.append(data)
                 size += len(data)
         if waiting:
@@ -249,10 +274,13 @@ def compare_runs(bodies: DataFrame, parts: int) -> DataFrame:
     return bodies.repartition(parts, "key").mapInPandas(compared, MATCHES)
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """text_key and spans (sorted array of struct a, b: bytes to remove) of each text that has any."""
+def removed_spans(docs: DataFrame, length: int = LENGTH, encode: Callable[[str], bytes] = plain) -> DataFrame:
+    """text_key and spans (sorted array of struct a, b: bytes to remove) of each text that has any.
+
+    Windows of ``length`` bytes of what ``encode`` makes of a text; spans are of that.
+    """
     spark = docs.sparkSession
-    runs = written(text_runs(docs), "runs")
+    runs = written(text_runs(docs, length, encode), "runs")
     bodies = runs.groupBy("key", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_key", "first", "end")).alias("at"), F.max("folded").alias("folded"))
     by_key = bodies.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("most"), F.max("at").alias("at"), F.max("body").alias("body"), F.max("folded").alias("folded"))
     shared = written(by_key.filter("kinds > 1 or most > 1 or folded"), "keys")
@@ -262,24 +290,24 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     distinct = written(bodies.join(various, "key").select("key", "body", "n", "at.*"), "distinct")
     wanted = distinct.groupBy("text_key").agg(F.collect_list(F.struct("key", "body", "first", "end")).alias("cuts"))
     texts = docs.select("text", F.unhex(F.md5("text")).alias("text_key")).join(wanted, "text_key")
-    size = distinct.agg(F.sum(F.col("end") - F.col("first") + LENGTH)).first()[0] or 0
+    size = distinct.agg(F.sum(F.col("end") - F.col("first") + length)).first()[0] or 0
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for text, cuts in zip(batch["text"], batch["cuts"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                out += [(c["key"], c["body"], data[c["first"] : c["end"] + LENGTH - 1]) for c in cuts]
+                data = encode(text)
+                out += [(c["key"], c["body"], data[c["first"] : c["end"] + length - 1]) for c in cuts]
             yield pd.DataFrame(out, columns=["key", "body", "data"])
 
     # a text may stand in many rows: of its copies one is cut
     data = texts.dropDuplicates(["text_key"]).select("text", "cuts").mapInPandas(cut, "key long, body long, data binary")
-    matched = compare_runs(data, max(1, -(-size // SHARE)))
+    matched = compare_runs(data, max(1, -(-size // SHARE)), length)
     often = distinct.filter("n > 1").select("key", "body", F.array(F.struct(F.lit(0).alias("a"), (F.col("end") - F.col("first")).alias("b"))).alias("spans"))
     matched = matched.join(often.select("key", "body"), ["key", "body"], "left_anti").unionByName(often)
     matched = written(matched.unionByName(alone), "matches")
     release_shuffles(spark)
-    hits = runs.join(matched, ["key", "body"]).select("text_key", F.explode(F.transform("spans", lambda s: F.struct((F.col("first") + s["a"]).alias("a"), (F.col("first") + s["b"] + LENGTH - 1).alias("b")))).alias("span")).distinct()
+    hits = runs.join(matched, ["key", "body"]).select("text_key", F.explode(F.transform("spans", lambda s: F.struct((F.col("first") + s["a"]).alias("a"), (F.col("first") + s["b"] + length - 1).alias("b")))).alias("span")).distinct()
     return hits.groupBy("text_key").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
 
@@ -322,20 +350,26 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without repeated passages: each removed run shrinks to whole characters; n_chars follows.
+    """``docs`` without repeated passages, of LENGTH bytes or of WORDS words, whichever is less.
 
+    Each removed run shrinks to whole characters; n_chars follows.
     Only passages go, never rows.  Null texts stay null.
     """
-    spans = written(removed_spans(docs.select(text_or_empty().alias("text"))), "spans")
-    release_shuffles(spark)
+    texts = docs.select(text_or_empty().alias("text"))
+    before = tables_so_far()
+    spans = written(removed_spans(texts), "spans")
+    forget_tables(spans, before)
+    before = tables_so_far()
+    worded = written(removed_spans(texts, WORDS * CODE, coded).withColumnRenamed("spans", "worded"), "worded")
+    forget_tables(worded, before)
 
     @F.pandas_udf("string")
-    def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def kept(texts: pd.Series, spans: pd.Series, worded: pd.Series) -> pd.Series:
         out = []
-        for text, own in zip(texts, spans, strict=True):
+        for text, own, words in zip(texts, spans, worded, strict=True):
             data = text.encode("utf-8", "surrogatepass")
             whole = []
-            for s in own:
+            for s in sorted([*own, *uncoded(data, words)], key=lambda s: (s["a"], s["b"])):
                 a, b = s["a"], s["b"]
                 while a < b and data[a] & 0xC0 == 0x80:
                     a += 1
@@ -346,8 +380,9 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         return pd.Series(out, dtype=object)
 
     row = docs.select(F.struct(*docs.columns).alias("sd_row"), F.unhex(F.md5(text_or_empty())).alias("text_key"))
-    joined = row.join(spans, "text_key", "left")
-    text = F.when(F.col("spans").isNull(), F.col("sd_row.text")).otherwise(kept(F.coalesce("sd_row.text", F.lit("")), F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>"))))
+    joined = row.join(spans, "text_key", "left").join(worded, "text_key", "left")
+    or_none = lambda name: F.coalesce(name, F.array().cast("array<struct<a:int,b:int>>"))
+    text = F.when(F.coalesce("spans", "worded").isNull(), F.col("sd_row.text")).otherwise(kept(F.coalesce("sd_row.text", F.lit("")), or_none("spans"), or_none("worded")))
     out = joined.select("sd_row", text.alias("sd_text"))
     cols = {"text": F.col("sd_text"), "n_chars": F.when(F.col("sd_text").eqNullSafe(F.col("sd_row.text")), F.col("sd_row.n_chars")).otherwise(F.length("sd_text").cast("long"))}
     return out.select(*[cols.get(c, F.col(f"sd_row.`{c}`")).alias(c) for c in docs.columns])

@@ -70,3 +70,21 @@ def test_family_equals_one_array():
 
 def test_empty(spark, empty):
     assert suffixes.op5_suffix_dedup(spark, empty).count() == 0
+
+
+def test_stage_removes_passages_of_51_words(spark, tmp_path):
+    """A passage of 51 short words goes though it has under 400 bytes; one of 50 stays; 400 bytes in few words go."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(rng.randrange(2, 6)))
+    words = lambda n: [word() + str(rng.randrange(10**6)) for _ in range(n)]
+    short, less, wide = [word() for _ in range(51)], [word() for _ in range(50)], "z".join(words(60))
+    assert len(" ".join(short).encode()) < 400 <= len(wide.encode())
+    own = [words(80) for _ in range(6)]
+    around = lambda i, x: " ".join(own[i][:40]) + " " + x + " " + " ".join(own[i][40:])
+    texts = [around(0, " ".join(short)), around(1, "\n".join(short)), around(2, " ".join(less)), around(3, " ".join(less)), around(4, wide), around(5, wide)]
+    d = str(tmp_path)
+    spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    got = {r["doc_id"]: r for r in suffixes.suffix_stage(spark, spark.read.parquet(f"{d}/documents.parquet"), d).collect()}
+    assert [got[i]["text"].split() for i in (0, 1)] == own[:2]
+    assert [got[i]["text"] for i in (2, 3)] == texts[2:4]
+    assert all(wide not in got[i]["text"] and got[i]["n_chars"] == len(got[i]["text"]) for i in (4, 5))
