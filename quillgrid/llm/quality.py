@@ -4,12 +4,15 @@ Rules measure a text (mean word length either way, symbols a word, repeated line
 accepted only if labelled documents show that it rejects few good ones: of the n good documents (quality 1) of a
 stratum, k would be rejected; if the true rate were above LIMIT, so few would have probability at most
 sum_{i<=k} C(n, i) LIMIT^i (1 - LIMIT)^(n - i), the exact binomial tail.  A cutoff is certified if that is at most
-DELTA / (strata x rules) while the cutoffs of a rule are tested in a fixed order from lenient to strict, stopping
-at the first failure; with Bonferroni over rules and strata, all certified cutoffs hold at once with confidence
-1 - DELTA, and a stratum's false rejection is at most rules x LIMIT.  A rule without a certified cutoff rejects nothing.
+DELTA / rules while the cutoffs of a rule are tested in a fixed order from lenient to strict, stopping at the first
+failure; with Bonferroni over rules, all certified cutoffs of a stratum hold at once with confidence 1 - DELTA, and the
+stratum's false rejection is at most rules x LIMIT.  The confidence is each stratum's own: what a language's labels
+certify does not depend on how many other languages there are.  A rule without a certified cutoff rejects nothing.
 
-The strata are the languages, null among them.  Their counts (strata x rules x cutoffs numbers) are all that comes to
-the driver.
+The strata are the languages, null among them.  One too small to certify anything, even if none of its good documents
+were rejected (under 237 of them), takes the cutoffs certified on all languages together.  Those bound the rejection
+over all languages, not within the small one; so there a cutoff is taken only as far as it rejects no more than LIMIT of
+the stratum's own good documents.  The counts (strata x rules x cutoffs numbers) are all that comes to the driver.
 
 Defined cases: a null text has no words and fails the base rules, as does an empty one.  Labels that are null, or of
 unknown ids, teach nothing; repeated labels of an id count once, as good only if all say so.  Without labels only the
@@ -25,7 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, table, text_or_empty, written
 
-LIMIT, DELTA = 0.005, 0.05
+LIMIT, DELTA = 0.02, 0.05
+#: The stratum of all languages, as a key of cutoffs: for languages without a labelled good document.
+POOLED = ("all languages",)
+Cutoffs = dict[tuple[str | tuple | None, str], float]
 #: Rules: the measure, and cutoffs from lenient to strict; larger measures are rejected.
 RULES: dict[str, list[float]] = {
     "symbols": [3.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1],
@@ -83,39 +89,62 @@ def binomial_tail(n: int, k: int, rate: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def certified(counts: list[dict], limit: float = LIMIT, delta: float = DELTA) -> dict[tuple[str | None, str], float]:
+def certified(counts: list[dict], limit: float = LIMIT, delta: float = DELTA) -> Cutoffs:
     """The strictest certified cutoff by stratum and rule; ``counts``: lang, n, and k of each rule and cutoff."""
     out = {}
     for row in counts:
         for rule, cutoffs in RULES.items():
             for j, cutoff in enumerate(cutoffs):
                 n, k = row["n"], row[f"{rule}_{j}"]
-                if n == 0 or binomial_tail(n, k, limit) > delta / (len(RULES) * len(counts)):
+                if n == 0 or binomial_tail(n, k, limit) > delta / len(RULES):
                     break
                 out[row["lang"], rule] = cutoff
     return out
 
 
-def fit(measured: DataFrame, labels: DataFrame) -> dict[tuple[str | None, str], float]:
-    """Cutoffs from all labelled good documents that pass the base rules."""
+def with_pooled(counts: list[dict], limit: float = LIMIT, delta: float = DELTA) -> Cutoffs:
+    """``certified`` of the strata, and of all together for those that are too small; keys with POOLED: for all others."""
+    if not counts:
+        return {}
+    total = {k: sum(row[k] for row in counts) for k in counts[0] if k != "lang"} | {"lang": POOLED}
+    pooled = certified([total], limit, delta)
+    out = certified(counts, limit, delta) | pooled
+    for row in counts:
+        if binomial_tail(row["n"], 0, limit) > delta / len(RULES):
+            for (_, rule), strictest in pooled.items():
+                for j, cutoff in enumerate(RULES[rule]):
+                    if row[f"{rule}_{j}"] > limit * row["n"]:
+                        break
+                    out[row["lang"], rule] = cutoff
+                    if cutoff == strictest:
+                        break
+    return out
+
+
+def fit(measured: DataFrame, labels: DataFrame) -> tuple[Cutoffs, list[str | None]]:
+    """Cutoffs from all labelled good documents that pass the base rules; and the languages of those."""
     good = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("q_id")).agg(F.min("quality").alias("q_good")).filter("q_good = 1")
     rows = measured.filter(~base_failed()).join(good, F.col("doc_id") == F.col("q_id"))
     over = [F.sum((value > c).cast("long")).alias(f"{rule}_{j}") for rule, value in rule_values().items() for j, c in enumerate(RULES[rule])]
-    return certified([r.asDict() for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *over).collect()])
+    counts = [r.asDict() for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *over).collect()]
+    return with_pooled(counts), [row["lang"] for row in counts]
 
 
-def verdict(cutoffs: dict[tuple[str | None, str], float]) -> Column:
-    """True for texts that pass the base rules and no certified cutoff of their stratum rejects."""
-    values, bad = rule_values(), F.lit(False)
+def verdict(cutoffs: Cutoffs, langs: list[str | None]) -> Column:
+    """True for texts that pass the base rules and no cutoff of their stratum rejects; ``langs`` have their own cutoffs."""
+    values, bad, known = rule_values(), F.lit(False), F.lit(False)
+    for lang in langs:
+        known = known | F.col("lang").eqNullSafe(F.lit(lang))
     for (lang, rule), cutoff in cutoffs.items():
-        bad = bad | (F.col("lang").eqNullSafe(F.lit(lang)) & (values[rule] > cutoff))
+        here = ~known if lang == POOLED else F.col("lang").eqNullSafe(F.lit(lang))
+        bad = bad | (here & (values[rule] > cutoff))
     return ~base_failed() & ~bad
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed and kept of every document."""
     rows = written(measures(docs.select("doc_id", "lang", "text")).drop("text"), "measures")
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), verdict(fit(rows, labels)).alias("kept"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), verdict(*fit(rows, labels)).alias("kept"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,4 +156,4 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     inner = docs.select(F.struct(*docs.columns).alias("q_row"), "doc_id", "lang", "text")
     # written with its measures: a filter over unwritten measures would repeat their expressions for each rule
     measured = written(measures(inner).drop("text"), "measured")
-    return measured.filter(verdict(fit(measured, table(spark, sf_dir, "labels")))).select("q_row.*")
+    return measured.filter(verdict(*fit(measured, table(spark, sf_dir, "labels")))).select("q_row.*")
