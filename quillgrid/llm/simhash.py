@@ -15,7 +15,7 @@ shingle.  Repeated rows share a fingerprint.  A component's id is its smallest i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -88,8 +88,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Min-hashes of a signature, and how many make a band.
 HASHES, BAND = 200, 8
-#: Nodes of a band's bucket with which all of the bucket are compared.
-REPS = 6
+#: Nodes of a band's bucket with which all of the bucket are compared first; nodes of a block in the pass over the rest.
+REPS, NODES = 3, 512
 _rng = np.random.default_rng(9)
 _TIMES = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -119,12 +119,84 @@ def bits_of(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
-def near_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) of different nodes whose signatures agree in at least ``similarity``; nodes (node, fp, sig), distinct.
+def estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in at least ``least`` of their places."""
 
-    Candidates are the pairs of the covering tables, and each node with REPS nodes of each of its bands' buckets, drawn
-    for each bucket anew; a bucket of m nodes gives at most REPS * m pairs.  64 bits alone are too few here: at a Jaccard similarity of 0.8 about ten differ, and
-    covering that radius would take 2047 tables.
+    @F.pandas_udf("double")
+    def agreement(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([float((np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)).mean()) for a, b in zip(x, y, strict=True)], dtype="float64")
+
+    sig = lambda end, name: nodes.select(F.col("node").alias(end), F.col("sig").alias(name))
+    both = pairs.join(sig("a", "sig_a"), "a").join(sig("b", "sig_b"), "b")
+    return both.filter(agreement("sig_a", "sig_b") >= least).select("a", "b")
+
+
+def agreeing(x: pd.DataFrame, y: pd.DataFrame | None, least: float) -> list[tuple[int, int]]:
+    """Pairs of different roots, one of x and one of y (None: both of x), whose signatures agree in ``least`` places."""
+    sides = [(z["node"].to_numpy(), z["root"].to_numpy(), np.frombuffer(b"".join(z["sig"]), np.uint16).reshape(len(z), HASHES)) for z in (x, x if y is None else y)]
+    (nodes, roots, sigs), (others, theirs, signs) = sides
+    out = []
+    for i in range(len(nodes)):
+        at = np.flatnonzero(theirs != roots[i])
+        if y is None:
+            at = at[at > i]
+        hit = at[(signs[at] == sigs[i]).sum(axis=1) >= least * HASHES]
+        out += [(min(nodes[i], o), max(nodes[i], o)) for o in others[hit]]
+    return out
+
+
+def rest_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of members (key, node) of a bucket, of different roots, that agree in at least ``least``.
+
+    A bucket's largest component is not compared with itself.  The other members and that are dealt by hash into blocks
+    of about NODES; a task compares two blocks, so that neither a bucket nor its pairs stand in one task.
+    """
+    rooted = written(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "members")
+    per_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    blocks = lambda c: F.ceil(c / NODES).cast("int")
+    mixed = per_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    mixed = mixed.select("key", F.col("main.root").alias("main"), blocks(F.col("main.c")).alias("n_main"), blocks(F.col("m") - F.col("main.c")).alias("n_other"))
+    rows = rooted.join(mixed, "key").withColumn("is_main", F.col("root") == F.col("main"))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_other"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    unit = lambda p, q, main, side: F.struct(F.xxhash64("key", p, q, F.lit(main)).alias("unit"), side.alias("side"))
+    zero, one = F.lit(0), F.lit(1)
+    with_main = F.when(F.col("is_main"), F.transform(upto("n_other"), lambda j: unit(j, F.col("i"), 1, one))).otherwise(F.transform(upto("n_main"), lambda j: unit(F.col("i"), j, 1, zero)))
+    with_others = F.when(F.col("is_main"), F.array().cast("array<struct<unit:bigint,side:int>>")).otherwise(F.transform(upto("n_other"), lambda j: unit(F.least("i", j), F.greatest("i", j), 0, F.when(j < F.col("i"), one).otherwise(zero))))
+    dealt = rows.select("node", "root", F.explode(F.concat(with_main, with_others)).alias("u")).select("u.unit", "u.side", "node", "root")
+    dealt = dealt.join(nodes.select("node", "sig"), "node").repartition("unit").sortWithinPartitions("unit", "side")
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            for _, group in rows.groupby("unit", sort=False):
+                x, y = group[group["side"] == 0], group[group["side"] == 1]
+                if len(x) and (found := agreeing(x, y if len(y) else None, least)):
+                    yield pd.DataFrame(found, columns=["a", "b"])
+
+        waiting = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+            last = (rows["unit"] == rows["unit"].iloc[-1]).to_numpy()
+            yield from of(rows[~last])
+            waiting = rows[last]
+        if waiting is not None:
+            yield from of(waiting)
+
+    return dealt.mapInPandas(compared, "a long, b long").distinct()
+
+
+def near_roots(nodes: DataFrame, least: float, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the nodes (node, fp, sig; distinct) that have links.
+
+    ``linked`` decides pairs (a, b); none that it links agrees in less than ``least``.  Candidates are the pairs of the
+    covering tables and all pairs of each band's buckets.  64 bits alone are too few here: at a Jaccard similarity of 0.8
+    about ten differ, and covering that radius would take 2047 tables.
+
+    In a bucket all nodes are compared with REPS drawn nodes first.  The draw is by node, so that buckets with much the
+    same nodes draw the same.  The others of a bucket that are by then not in one component are compared with each other
+    (``rest_pairs``): so no pair of a bucket is left out that could join two components.
     """
     first = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
     close = links(nodes.select("fp").distinct())
@@ -133,18 +205,15 @@ def near_links(nodes: DataFrame, similarity: float) -> DataFrame:
     width = 2 * BAND
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", width * i + 1, width)) for i in range(HASHES // BAND)])
     banded = nodes.select("node", F.explode(keys).alias("key"))
-    drawn = [F.min(F.struct(F.xxhash64("node", "key", F.lit(t)).alias("by"), F.col("node").alias("is"))).getField("is") for t in range(REPS)]
-    buckets = banded.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("reps"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "reps")
-    by_band = banded.join(buckets, "key").select(F.col("node").alias("x"), F.explode("reps").alias("y"))
+    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("by"), F.col("node").alias("is"))).getField("is") for t in range(REPS)]
+    buckets = banded.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("reps"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = written(banded.join(buckets, "key").select("key", "node", "reps", "n"), "shared")
+    by_band = shared.select(F.col("node").alias("x"), F.explode("reps").alias("y"))
     pairs = by_fp.union(same_fp).union(by_band).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    @F.pandas_udf("double")
-    def agreement(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([float((np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)).mean()) for a, b in zip(x, y, strict=True)], dtype="float64")
-
-    sig = lambda end, name: nodes.select(F.col("node").alias(end), F.col("sig").alias(name))
-    both = pairs.join(sig("a", "sig_a"), "a").join(sig("b", "sig_b"), "b")
-    return both.filter(agreement("sig_a", "sig_b") >= similarity).select("a", "b")
+    edges = written(linked(pairs), "links")
+    members = shared.filter((F.col("n") - F.size("reps") > 1) & ~F.array_contains("reps", F.col("node"))).select("key", "node")
+    more = written(linked(rest_pairs(members, components(edges), nodes, least)), "links")
+    return components(edges.union(more))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -165,8 +234,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, word
 
     rows = docs.filter("doc_id is not null").select("doc_id", prints("text").alias("p")).filter("p.sig is not null")
     rows = written(rows.select("doc_id", "p.fp", "p.sig", F.xxhash64("p.sig", "p.fp").alias("node")), "signatures")
-    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sig").alias("sig"))
-    roots = components(near_links(written(nodes, "nodes"), similarity))
+    nodes = written(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sig").alias("sig")), "nodes")
+    roots = near_roots(nodes, similarity, lambda pairs: estimated(pairs, nodes, similarity))
     rooted = rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
