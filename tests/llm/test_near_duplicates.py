@@ -19,3 +19,42 @@ def test_all_pairs_of_a_mixed_bucket(spark):
     roots = {r["node"]: r["root"] for r in simhash.near_roots(nodes, 0.8, lambda pairs: simhash.estimated(pairs, nodes, 0.8)).collect()}
     assert set(roots) == {r[0] for r in rows}
     assert all(roots[10 * g] == roots[10 * g + 1] for g in range(1500)) and len(set(roots.values())) == 1500
+
+
+def test_groups_are_those_of_the_exact_similarity(spark):
+    """The documents kept are exactly the least ids of the components of pairs of Jaccard similarity 0.8 or more."""
+    import collections
+
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = {r["doc_id"] for r in simhash.near_duplicate_stage(spark, docs, d).select("doc_id").collect()}
+    sets, ids = {}, collections.defaultdict(list)
+    where = collections.defaultdict(list)
+    for r in docs.select("doc_id", "text").collect():
+        w = (r["text"] or "").encode().lower().split()
+        ids[frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else r["doc_id"]].append(r["doc_id"])
+    for k, s in enumerate(ids):
+        if not isinstance(s, int):
+            sets[k] = s
+            for x in s:
+                where[x].append(k)
+    parent = list(range(len(ids)))
+
+    def find(k):
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    near, close = 0, 0
+    for a, s in sets.items():
+        for b, n in collections.Counter(b for x in s for b in where[x] if b > a).items():
+            j = n / (len(s) + len(sets[b]) - n)
+            near, close = near + (0.8 <= j < 0.82), close + (0.76 <= j < 0.8)
+            if j >= 0.8:
+                parent[find(a)] = find(b)
+    least = collections.defaultdict(list)
+    for k, own in enumerate(ids.values()):
+        least[find(k)] += own
+    want = {min(x) for x in least.values()}
+    print(len(want), len(kept), len(want - kept), len(kept - want), near, close)
+    assert near and close and kept == want
