@@ -152,7 +152,9 @@ def text_runs(docs: DataFrame, length: int = LENGTH, encode: Callable[[str], byt
                 first, end, key, folded = runs_of(data, length)
                 view = memoryview(data)
                 body = [digest(view[a : b + length - 1]) for a, b in zip(first.tolist(), end.tolist(), strict=True)]
-                out.append((np.full(len(first), text_key(plain(text)), object), first, end, key.view(np.int64), np.array(body, U64).view(np.int64), folded))
+                own = np.empty(len(first), object)
+                own[:] = [text_key(plain(text))] * len(first)  # np.full would strip a key's trailing zeros
+                out.append((own, first, end, key.view(np.int64), np.array(body, U64).view(np.int64), folded))
             if out:
                 cols = [np.concatenate(x) for x in zip(*out, strict=True)]
                 yield pd.DataFrame(dict(zip(("text_key", "first", "end", "key", "body", "folded"), cols, strict=True)))

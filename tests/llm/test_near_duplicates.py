@@ -1,6 +1,7 @@
 import numpy as np
 
 from quillgrid.llm import simhash
+from quillgrid.llm.common import written
 
 
 def test_all_pairs_of_a_mixed_bucket(spark):
@@ -15,7 +16,7 @@ def test_all_pairs_of_a_mixed_bucket(spark):
         twin[simhash.BAND :: simhash.BAND] ^= 1
         assert (sig == twin).mean() >= 0.8
         rows += [(10 * g + k, int(rng.integers(-(1 << 63), 1 << 63)), s.tobytes()) for k, s in enumerate((sig, twin))]
-    nodes = spark.createDataFrame(rows, "node long, fp long, sig binary").repartition(4).localCheckpoint()
+    nodes = written(spark.createDataFrame(rows, "node long, fp long, sig binary").repartition(4), "nodes")
     roots = {r["node"]: r["root"] for r in simhash.near_roots(nodes, 0.8, lambda pairs: simhash.estimated(pairs, nodes, 0.8)).collect()}
     assert set(roots) == {r[0] for r in rows}
     assert all(roots[10 * g] == roots[10 * g + 1] for g in range(1500)) and len(set(roots.values())) == 1500

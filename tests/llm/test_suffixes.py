@@ -52,6 +52,27 @@ def test_edges_of_passages(spark, tmp_path, monkeypatch):
     check(rows, collected(suffixes.op5_suffix_dedup(spark, d)))
 
 
+def test_keys_that_end_in_zero_bytes(spark, tmp_path):
+    """Texts whose key ends in a zero byte lose their passages, and give them to others, like any text."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+
+    def ending(zero, passage):
+        while True:
+            if (hashlib.md5((t := text(30) + passage + text(30)).encode()).digest()[-1] == 0) == zero:
+                return t
+
+    rows = []
+    for kinds in ((True, False), (True, True), (False, True, False)):
+        passage = text(500)
+        rows += [(len(rows) + k, ending(zero, passage), "en", "a", 1) for k, zero in enumerate(kinds)]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    got = collected(suffixes.op5_suffix_dedup(spark, d))
+    check(rows, got)
+    assert all(g["n_removed"] >= 500 for g in got)
+
+
 def test_family_equals_one_array():
     rng = random.Random(1)
     base = bytes(rng.randrange(256) for _ in range(2000))
