@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import WORD, table, written
 from .graph import components
 
 RADIUS, BITS, SEED = 2, 64, 42
@@ -73,7 +73,8 @@ def components_of(rows: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     roots = components(links(rows.select("fp").distinct()))
     keyed = rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     keyed = written(keyed, "rooted")
-    least = keyed.groupBy("root").agg(F.min(doc_id).alias("component_id"))
+    # written, so that the join is not bound to the aggregate's partitioning and a large component's rows can be split
+    least = written(keyed.groupBy("root").agg(F.min(doc_id).alias("component_id")), "least")
     return keyed.join(least, "root").drop("root")
 
 
@@ -133,54 +134,103 @@ def estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.filter(agreement("sig_a", "sig_b") >= least).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least ``similarity``, exactly.
-
-    ``nodes`` have text_hash, that of the node's text in ``docs``; the sets are of 64-bit hashes of the shingles.
-    """
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, set) of nodes (node, text_hash: that of the node's text in ``docs``): 64-bit hashes of the shingles, sorted."""
 
     @F.pandas_udf("binary")
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, words)).tobytes() for t in texts], dtype=object)
 
+    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(nodes, "text_hash").dropDuplicates(["node"])
+    return texts.select("node", shingles("text").alias("set"))
+
+
+def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least ``similarity``, exactly."""
+
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y, strict=True):
-            p, q = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(both / (len(p) + len(q) - both) >= similarity)
-        return pd.Series(out, dtype=bool)
+        return pd.Series([jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= similarity for a, b in zip(x, y, strict=True)], dtype=bool)
 
     pairs = written(pairs, "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
-    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash").dropDuplicates(["node"])
-    sets = written(texts.select("node", shingles("text").alias("set")), "sets")
+    sets = written(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
     of = lambda end: sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").filter(near("set_a", "set_b")).select("a", "b")
 
 
-def agreeing(x: pd.DataFrame, y: pd.DataFrame | None, least: float) -> list[tuple[int, int]]:
-    """Pairs of different roots, one of x and one of y (None: both of x), whose signatures agree in ``least`` places."""
-    sides = [(z["node"].to_numpy(), z["root"].to_numpy(), np.frombuffer(b"".join(z["sig"]), np.uint16).reshape(len(z), HASHES)) for z in (x, x if y is None else y)]
-    (nodes, roots, sigs), (others, theirs, signs) = sides
+def of_units(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole units, from batches in which each unit's rows stand together."""
+    waiting = None
+    for batch in rows:
+        if not len(batch):
+            continue
+        held = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+        last = (held["unit"] == held["unit"].iloc[-1]).to_numpy()
+        yield from (group for _, group in held[~last].groupby("unit", sort=False))
+        waiting = held[last]
+    if waiting is not None:
+        yield waiting
+
+
+def close_pairs(unit: pd.DataFrame, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of side 0, the rows of a unit that it is compared with and whose signatures agree in ``least``.
+
+    Those of side 1, or if there are none the later ones of side 0.  Places are of the unit's rows.  Rows of one root are
+    not compared, nor rows that agree in a band before the unit's own: a bucket of that band has both.
+    """
+    side, roots, band = unit["side"].to_numpy(), unit["root"].to_numpy(), int(unit["band"].iloc[0])
+    sigs = np.frombuffer(b"".join(unit["sig"]), np.uint16).reshape(len(unit), HASHES)
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for k, i in enumerate(first):
+        at = second if len(second) else first[k + 1 :]
+        at = at[roots[at] != roots[i]]
+        same = sigs[at] == sigs[i]
+        near = np.flatnonzero(same.sum(axis=1) >= least * HASHES)
+        if len(near):
+            bands = same[near].reshape(len(near), HASHES // BAND, BAND).all(axis=2)
+            bands[:, band] = True
+            yield i, at[near[bands.argmax(axis=1) == band]]
+
+
+def jaccard(p: np.ndarray, q: np.ndarray) -> float:
+    """Similarity of two sets, as sorted arrays."""
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both / (len(p) + len(q) - both)
+
+
+def forest(unit: pd.DataFrame, least: float, similarity: float | None) -> list[tuple[int, int]]:
+    """Links (a, b) of a unit's rows, as many as join what its links join: pairs already joined are not looked at.
+
+    A link is a close pair whose sets have the ``similarity``; None: any close pair.
+    """
+    nodes, roots = unit["node"].tolist(), unit["root"].tolist()
+    sets = [np.frombuffer(x, np.uint64) for x in unit["set"]] if similarity is not None else []
+    up: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while (to := up.get(r, r)) != r:
+            up[r] = r = up.get(to, to)
+        return r
+
     out = []
-    for i in range(len(nodes)):
-        at = np.flatnonzero(theirs != roots[i])
-        if y is None:
-            at = at[at > i]
-        hit = at[(signs[at] == sigs[i]).sum(axis=1) >= least * HASHES]
-        out += [(min(nodes[i], o), max(nodes[i], o)) for o in others[hit]]
+    for i, at in close_pairs(unit, least):
+        for j in at.tolist():
+            p, q = find(roots[i]), find(roots[j])
+            if p != q and (similarity is None or jaccard(sets[i], sets[j]) >= similarity):
+                up[p] = q
+                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
     return out
 
 
-def rest_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of members (key, node) of a bucket, of different roots, that agree in at least ``least``.
+def rest_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, least: float, similarity: float | None, sets_of: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """Links (a, b) of members (band, key, node) of a bucket, of different roots: so many that they join what all would.
 
     A bucket's largest component is not compared with itself.  The other members and that are dealt by hash into blocks
-    of about NODES; a task compares two blocks, so that neither a bucket nor its pairs stand in one task.
+    of about NODES; a task compares two blocks, so that neither a bucket nor its pairs stand in one task.  A first pass
+    over signatures tells which members have a close pair in their unit; a second one, with the sets of only those,
+    decides.  No pass returns more than a row or link for each row it has read, however many pairs are close.
     """
-    rooted = written(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "members")
+    rooted = written(members.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")), "members")
     per_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     blocks = lambda c: F.ceil(c / NODES).cast("int")
     mixed = per_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
@@ -192,40 +242,39 @@ def rest_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, least: fl
     zero, one = F.lit(0), F.lit(1)
     with_main = F.when(F.col("is_main"), F.transform(upto("n_other"), lambda j: unit(j, F.col("i"), 1, one))).otherwise(F.transform(upto("n_main"), lambda j: unit(F.col("i"), j, 1, zero)))
     with_others = F.when(F.col("is_main"), F.array().cast("array<struct<unit:bigint,side:int>>")).otherwise(F.transform(upto("n_other"), lambda j: unit(F.least("i", j), F.greatest("i", j), 0, F.when(j < F.col("i"), one).otherwise(zero))))
-    dealt = rows.select("node", "root", F.explode(F.concat(with_main, with_others)).alias("u")).select("u.unit", "u.side", "node", "root")
-    dealt = dealt.join(nodes.select("node", "sig"), "node").repartition("unit").sortWithinPartitions("unit", "side")
-
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            for _, group in rows.groupby("unit", sort=False):
-                x, y = group[group["side"] == 0], group[group["side"] == 1]
-                if len(x) and (found := agreeing(x, y if len(y) else None, least)):
-                    yield pd.DataFrame(found, columns=["a", "b"])
-
-        waiting = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
-            last = (rows["unit"] == rows["unit"].iloc[-1]).to_numpy()
-            yield from of(rows[~last])
-            waiting = rows[last]
-        if waiting is not None:
-            yield from of(waiting)
-
-    return dealt.mapInPandas(compared, "a long, b long").distinct()
-
-
-def near_roots(nodes: DataFrame, least: float, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    dealt = rows.select("band", "node", "root", F.explode(F.concat(with_main, with_others)).alias("u")).select("u.unit", "u.side", "band", "node", "root")
+    by_unit = lambda df: df.repartition("unit").sortWithinPartitions("unit", "side")
+    dealt = by_unit(dealt.join(nodes.select("node", "sig"), "node"))
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in of_units(batches):
+            if found := forest(group, least, similarity):
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    if similarity is None:
+        return dealt.mapInPandas(joined, "a long, b long").distinct()
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in of_units(batches):
+            if found := [x for i, at in close_pairs(group, least) if len(at) for x in (i, *at.tolist())]:
+                yield group.iloc[np.unique(found)][["unit", "side", "band", "node", "root"]]
+
+    near = written(dealt.mapInPandas(close, "unit long, side int, band int, node long, root long"), "close")
+    sets = written(sets_of(near.select("node").distinct()), "sets")
+    return by_unit(near.join(nodes.select("node", "sig"), "node").join(sets, "node")).mapInPandas(joined, "a long, b long").distinct()
+
+
+def near_roots(nodes: DataFrame, least: float, linked: Callable[[DataFrame], DataFrame], similarity: float | None = None, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of the nodes (node, fp, sig; distinct) that have links.
 
-    ``linked`` decides pairs (a, b); none that it links agrees in less than ``least``.  Candidates are the pairs of the
+    ``linked`` decides pairs (a, b); none that it links agrees in less than ``least``.  With a ``similarity`` it is that
+    of the sets that ``sets_of`` gives for nodes; without, any pair that agrees in ``least`` is linked.  Candidates are the pairs of the
     covering tables and all pairs of each band's buckets.  64 bits alone are too few here: at a Jaccard similarity of 0.8
     about ten differ, and covering that radius would take 2047 tables.
 
     In a bucket all nodes are compared with REPS drawn nodes first.  The draw is by node, so that buckets with much the
     same nodes draw the same.  The others of a bucket that are by then not in one component are compared with each other
-    (``rest_pairs``): so no pair of a bucket is left out that could join two components.
+    (``rest_links``): so no pair of a bucket is left out that could join two components.
     """
     first = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
     close = links(nodes.select("fp").distinct())
@@ -233,15 +282,15 @@ def near_roots(nodes: DataFrame, least: float, linked: Callable[[DataFrame], Dat
     same_fp = nodes.join(first, "fp").select(F.col("node").alias("x"), F.col("rep").alias("y"))
     width = 2 * BAND
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", width * i + 1, width)) for i in range(HASHES // BAND)])
-    banded = nodes.select("node", F.explode(keys).alias("key"))
+    banded = nodes.select("node", F.posexplode(keys).alias("band", "key"))
     drawn = [F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("by"), F.col("node").alias("is"))).getField("is") for t in range(REPS)]
     buckets = banded.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("reps"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(banded.join(buckets, "key").select("key", "node", "reps", "n"), "shared")
+    shared = written(banded.join(buckets, "key").select("band", "key", "node", "reps", "n"), "shared")
     by_band = shared.select(F.col("node").alias("x"), F.explode("reps").alias("y"))
     pairs = by_fp.union(same_fp).union(by_band).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     edges = written(linked(pairs), "links")
-    members = shared.filter((F.col("n") - F.size("reps") > 1) & ~F.array_contains("reps", F.col("node"))).select("key", "node")
-    more = written(linked(rest_pairs(members, components(edges), nodes, least)), "links")
+    members = shared.filter((F.col("n") - F.size("reps") > 1) & ~F.array_contains("reps", F.col("node"))).select("band", "key", "node")
+    more = written(rest_links(members, components(edges), nodes, least, similarity, sets_of), "links")
     return components(edges.union(more))
 
 
@@ -250,7 +299,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, word
 
     Groups are the components of links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8
     or more.  Min-hashes give the candidates; the sets decide.  Rows without a word, or with a null id, all stay; so do
-    repeats of the row that stays.
+    repeats of the row that stays.  Of different texts under one id each is judged by itself.
     """
 
     @F.pandas_udf("fp long, sig binary, node long")
@@ -270,9 +319,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, word
     one = F.min(F.struct("text_hash", "fp", "sig")).alias("one")
     nodes = written(rows.groupBy("node").agg(one).select("node", "one.*"), "nodes")
     least = similarity - SLACK
-    roots = near_roots(nodes, least, lambda pairs: verified(estimated(pairs, nodes, least), docs, nodes, words, similarity))
-    rooted = rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    rooted = written(rooted, "rooted")
-    least_id = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
-    gone = rooted.join(least_id, "root").filter("doc_id <> least").select(F.col("doc_id").alias("nd_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("nd_id"), "left_anti")
+    sets_of = lambda wanted: shingle_sets(docs, nodes.select("node", "text_hash").join(wanted, "node"), words)
+    roots = near_roots(nodes, least, lambda pairs: verified(estimated(pairs, nodes, least), sets_of, similarity), similarity, sets_of)
+    rooted = rows.select("doc_id", "text_hash", "node").join(roots, "node", "left")
+    stay = rooted.groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("doc_id", "text_hash")).alias("nd")).select("nd.*")
+    stay = written(stay.select(F.col("doc_id").alias("nd_id"), F.col("text_hash").alias("nd_hash")), "stay")
+    judged = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    kept = docs.filter(judged).join(stay, (F.col("doc_id") == F.col("nd_id")) & (F.xxhash64("text") == F.col("nd_hash")), "left_semi")
+    return kept.unionByName(docs.filter(~judged))

@@ -59,3 +59,28 @@ def test_groups_are_those_of_the_exact_similarity(spark):
     want = {min(x) for x in least.values()}
     print(len(want), len(kept), len(want - kept), len(kept - want), near, close)
     assert near and close and kept == want
+
+
+def test_forest_joins_what_all_links_join():
+    """Units of one and of two blocks: as few links as possible, none of one root, joining what all pairs would."""
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    base = np.arange(300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 285, replace=False), rng.integers(1000, 9000, int(rng.integers(0, 60))).astype(np.uint64)])) for _ in range(60)]
+    rows = [(7, int(i >= 40), 0, i, 100 + i // 2, simhash.signature(s), s.tobytes()) for i, s in enumerate(sets)]
+    for unit in (pd.DataFrame(rows[:40], columns=["unit", "side", "band", "node", "root", "sig", "set"]), pd.DataFrame(rows, columns=["unit", "side", "band", "node", "root", "sig", "set"])):
+        found = simhash.forest(unit, 0.5, 0.8)
+        close = [(int(i), int(j)) for i, at in simhash.close_pairs(unit, 0.5) for j in at]
+        side, root = unit["side"].tolist(), unit["root"].tolist()
+        assert all(root[i] != root[j] and (side[i], side[j]) in {(0, 0), (0, 1)} for i, j in close)
+
+        def groups(pairs, root=root):
+            up = {r: r for r in root}
+            for i, j in pairs:
+                old, new = up[root[i]], up[root[j]]
+                up = {r: new if x == old else x for r, x in up.items()}
+            return {frozenset(r for r in up if up[r] == x) for x in up.values()}
+
+        all_links = [(i, j) for i, j in close if simhash.jaccard(sets[i], sets[j]) >= 0.8]
+        assert groups(found) == groups(all_links) and len(found) == len(set(root)) - len(groups(found)) and len(found) < len(all_links)
