@@ -7,12 +7,16 @@ before, word after) in which it stands in toxic texts, so that copies of one tex
 The walk's states are determinised as they are met and kept, so a word costs a table look-up a letter, and most words
 leave the automaton after a few letters.
 
+A second lexicon holds weaker terms: they stand in clean texts too, but a text with one is toxic far more often than the
+base rate, by numbers of texts (a common word has many neighbourhoods, but stands in most texts of its language).  Their
+hits have weights of their own, so that it takes several to call a text toxic.
+
 Each hit is judged in a window of words around it: inside quotation marks or near words of reporting it counts as a
 quotation, else as use.  A logistic regression over logarithmic counts of hits (exact or misspelled, used or quoted)
 and their density gives the score.
 
-Learning reads at most SAMPLE labelled texts, those whose ids have the least hashes, taken by a bound on the hash that
-comes from the narrow table of labels.  Scores read whole texts of all documents.
+Learning reads at most SAMPLE labelled texts, those whose ids have the least hashes (a top-k over the narrow table of
+labels).  Scores read whole texts of all documents.
 
 Defined cases: a null or empty text has no hits and gets the score of that.  Labels that are null, or of null ids,
 teach nothing; an id with several labels takes the largest.  Without both kinds of label every score is the base rate.
@@ -33,12 +37,16 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, table, text_or_empty, written
 
-#: Most labelled texts that are learned from; most terms of a lexicon; most candidates whose counts are collected.
-SAMPLE, TERMS, CANDIDATES = 20_000, 1_000, 50_000
+#: Most labelled texts that are learned from (the bound of the sample; all its terms are counted).
+SAMPLE = 20_000
+#: Candidates that the bound on chance allows for.
+CANDIDATES = 50_000
 #: Least support of a term; chance that any candidate is taken by accident; lengths of stems.
 SUPPORT, CHANCE, STEMS = 5, 1e-3, range(4, 9)
+#: Least share of toxic texts among those that have a weaker term.
+WEAK = 0.3
 WINDOW, CACHE_ENTRIES = 6, 500_000
-FEATURES = 8
+FEATURES = 11
 
 TOKEN = re.compile(r"\w+|[\"“”„«»‘’]")
 QUOTES = frozenset("\"“”„«»‘’")
@@ -71,8 +79,11 @@ def contexts(text: str) -> set[tuple[str, int]]:
     return out
 
 
-def learn_terms(texts: DataFrame) -> list[tuple[str, int, int]]:
-    """Terms, their support in toxic texts, and the number of other texts that have them; ``texts`` (text, label)."""
+def learn_terms(texts: DataFrame) -> list[tuple[str, int, int, int]]:
+    """Terms, their support in toxic texts, and the numbers of toxic and of other texts that have them.
+
+    ``texts`` (text, label) are a bounded sample, so the terms of SUPPORT that come to the driver are bounded too.
+    """
 
     def supported(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -80,21 +91,21 @@ def learn_terms(texts: DataFrame) -> list[tuple[str, int, int]]:
             yield pd.DataFrame({"term": pd.Series([x[0] for x in found], dtype=object), "around": pd.Series([x[1] for x in found], dtype="int64")})
 
     bad = texts.filter("label = 1").select("text").mapInPandas(supported, "term string, around long").groupBy("term").agg(F.count_distinct("around").alias("n"))
-    pos = {r["term"]: r["n"] for r in bad.filter(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
-    if not pos:
+    support = {r["term"]: r["n"] for r in bad.filter(F.col("n") >= SUPPORT).collect()}
+    if not support:
         return []
-    only = frozenset(pos)
+    only = frozenset(support)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
         for batch in batches:
-            for text in batch["text"]:
-                n.update(terms_of(text) & only)
-        yield pd.DataFrame({"term": pd.Series(list(n), dtype=object), "n": pd.Series(list(n.values()), dtype="int64")})
+            for text, label in zip(batch["text"], batch["label"], strict=True):
+                n.update((t, label) for t in terms_of(text) & only)
+        yield pd.DataFrame({"term": pd.Series([t for t, _ in n], dtype=object), "label": pd.Series([x for _, x in n], dtype="int64"), "n": pd.Series(list(n.values()), dtype="int64")})
 
-    good = texts.filter("label = 0").select("text").mapInPandas(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    neg = {r["term"]: r["n"] for r in good.collect()}
-    return [(t, n, neg.get(t, 0)) for t, n in pos.items()]
+    rows = texts.mapInPandas(counted, "term string, label long, n long").groupBy("term", "label").agg(F.sum("n").alias("n")).collect()
+    having = {(r["term"], r["label"]): r["n"] for r in rows}
+    return [(t, n, having.get((t, 1), 0), having.get((t, 0), 0)) for t, n in sorted(support.items())]
 
 
 def unlikely(a: int, b: int, rate: float) -> bool:
@@ -106,27 +117,33 @@ def unlikely(a: int, b: int, rate: float) -> bool:
     return n * divergence >= math.log(CANDIDATES / CHANCE)
 
 
-def lexicon(terms: list[tuple[str, int, int]], n_bad: int, n_good: int) -> list[str]:
-    """The terms that stand in toxic texts beyond chance, and in few others; of nested ones the most general."""
-    rate = n_bad / (n_bad + n_good)
-    strong = [(t, a, b) for t, a, b in terms if a >= 9 * b and unlikely(a, b, rate)]
-    strong.sort(key=lambda x: (-x[1], len(x[0]), x[0]))
+def general(terms: list[tuple[str, int]], but: list[str]) -> list[str]:
+    """Of (term, support) the terms that no other, or one of ``but``, makes needless."""
+    terms = sorted(terms, key=lambda x: (-x[1], len(x[0]), x[0]))
     within: dict[str, int] = {}  # the support of the best word that a stem begins
-    for t, a, _ in strong:
+    for t, a in terms:
         if t[-1] != "*":
             for n in STEMS:
                 within[t[:n]] = max(within.get(t[:n], 0), a)
-    kept: list[str] = []
-    for t, a, _ in strong:
+    words, stems, kept = {t for t in but if t[-1] != "*"}, {t[:-1] for t in but if t[-1] == "*"}, []
+    for t, a in terms:
         bare = t.rstrip("*")
         # a stem that hardly reaches beyond one word (which may be misspelled) gives way to it
-        if (t[-1] != "*" or a >= 1.2 * within.get(bare, 0)) and not any(k[-1] == "*" and bare.startswith(k[:-1]) for k in kept):
+        if (t[-1] != "*" or a >= 1.2 * within.get(bare, 0)) and bare not in words and not any(bare[:n] in stems for n in STEMS):
             kept.append(t)
-        if len(kept) >= TERMS:
-            break
+            if t[-1] == "*":
+                stems.add(bare)
     return sorted(kept)
 
 
+def lexicon(terms: list[tuple[str, int, int, int]], n_bad: int, n_good: int) -> tuple[list[str], list[str]]:
+    """The terms that stand in toxic texts beyond chance, and in few others; and the weaker ones."""
+    rate = n_bad / (n_bad + n_good)
+    strong = general([(t, a) for t, a, _, b in terms if a >= 9 * b and unlikely(a, b, rate)], [])
+    weak = [(t, a) for t, a, n, b in terms if a < 9 * b and n >= WEAK * (n + b) and unlikely(min(a, n), b, rate)]
+    return strong, general(weak, strong)
+
+
 class Automaton:
     """The trie of a lexicon intersected with its Levenshtein automata, determinised as it is walked."""
 
@@ -206,16 +223,18 @@ class Automaton:
         return 0 if best == 9 else 1 if best == 0 else 2
 
 
-def features(text: str, automaton: Automaton, cache: dict) -> list[float]:
+def features(text: str, automaton: Automaton, cache: dict, weaker: Automaton | None = None) -> list[float]:
     tokens = TOKEN.findall(text.lower())
-    hits = []
+    hits, weak = [], 0
     for i, w in enumerate(tokens):
         m = cache.get(w)
         if m is None:
             if len(cache) >= CACHE_ENTRIES:
                 cache.clear()
-            m = cache[w] = automaton.match(w)
-        if m:
+            m = cache[w] = automaton.match(w) or (4 if weaker is not None and weaker.match(w) else 0)
+        if m == 4:
+            weak += 1
+        elif m:
             hits.append((i, m))
     n = [0, 0, 0, 0]  # used exactly, quoted exactly, used misspelled, quoted misspelled
     if hits:
@@ -226,7 +245,7 @@ def features(text: str, automaton: Automaton, cache: dict) -> list[float]:
             n[2 * (m - 1) + quoted] += 1
     log = [math.log1p(x) for x in n]
     some = [float(n[0] > 0), float(n[2] > 0 and not n[0])]
-    return [1.0, *log, *some, 100 * (n[0] + n[2]) / (len(tokens) + 50)]
+    return [1.0, *log, *some, 100 * (n[0] + n[2]) / (len(tokens) + 50), math.log1p(weak), float(weak > 1), 100 * weak / (len(tokens) + 50)]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -242,31 +261,30 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Lexicon and weights from labelled documents (doc_id, text)."""
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[tuple[list[str], list[str]], np.ndarray]:
+    """Lexicons and weights from labelled documents (doc_id, text)."""
     picked = F.broadcast(sampled(labels))  # at most SAMPLE rows
     texts = written(docs.join(picked, F.col("doc_id") == F.col("l_id")).select("text", (F.col("label") > 0).cast("int").alias("label")), "labelled")
     n = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not (n.get(0) and n.get(1)):
         rate = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)
-        return [], np.array([math.log(rate / (1 - rate)), *[0.0] * (FEATURES - 1)])
+        return ([], []), np.array([math.log(rate / (1 - rate)), *[0.0] * (FEATURES - 1)])
     terms = lexicon(learn_terms(texts), n[1], n[0])
     rows = texts.select("label", feature_udf(terms)("text").alias("x")).groupBy("label", "x").count().orderBy("label", "x").collect()  # at most SAMPLE rows
     x = np.array([r["x"] for r in rows]).repeat([r["count"] for r in rows], axis=0)
     return terms, fit(x, np.array([r["label"] for r in rows], float).repeat([r["count"] for r in rows]))
 
 
-def feature_udf(terms: list[str]):
-    key = hash(tuple(terms))
+def feature_udf(terms: tuple[list[str], list[str]]):
+    key = tuple(map(tuple, terms))
 
     @F.pandas_udf("array<double>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if key not in _worker:
             _worker.clear()
-            _worker[key] = (Automaton(terms), {})
-        automaton, cache = _worker[key]
+            _worker[key] = (Automaton(terms[0]), {}, Automaton(terms[1]))
         for texts in batches:
-            yield pd.Series([features(t, automaton, cache) for t in texts])
+            yield pd.Series([features(t, *_worker[key]) for t in texts])
 
     return of
 
