@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     live = written(edges.filter("a <> b").select("a", "b").distinct(), "edges")
     found = None
-    for k in range(200):
+    for k in itertools.count():
         if live.isEmpty():
             break
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))

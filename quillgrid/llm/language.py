@@ -62,12 +62,13 @@ class Letters:
         """Keys and counts of the trigrams of a text: letters in lower case, gaps collapsed, one at either end."""
         keys: list[np.ndarray] = []
         low = text.lower()
-        for at in range(0, len(low), STRETCH):  # stretches overlap by two characters; gaps at a cut may differ by one trigram
-            c = self.codes(low[max(0, at - 2) : at + STRETCH])
-            c = np.concatenate([[0], c, [0]]) if len(low) <= STRETCH else c
-            c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])].astype(np.int64)
+        held = np.zeros(1, np.int64)  # the gap at the start; then the last two codes so far, so that a cut changes nothing
+        for at in range(0, len(low), STRETCH):
+            c = np.concatenate([held, self.codes(low[at : at + STRETCH]), [0] if at + STRETCH >= len(low) else []]).astype(np.int64)
+            c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
             if len(c) >= 3:
                 keys.append((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])
+            held = c[-2:]
         if not keys:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.unique(np.concatenate(keys), return_counts=True)
