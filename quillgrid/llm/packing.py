@@ -8,11 +8,11 @@ bin agrees; so the tightest compatible bin is found.  A document longer than the
 its first pieces, and the rest is packed.
 
 Sharding bounds memory and search by SHARD rows, whatever a source's or cluster's share; it leaves at most a few open
-bins a shard.
+bins a shard.  So the tightest bin is that of the shard, not of the whole table.
 
 Defined cases: a null text, or one without a word, is a piece of size 0, packed like any other.  Cluster: the hash of
 the lower-cased words, so that exact copies and repeated rows conflict; texts without a word conflict with none.  A
-null source is a source.  Row order doesn't matter for sizes or validity.
+null source is a source.  The packing depends on the rows alone, not on their order or partitions.
 """
 
 from __future__ import annotations
@@ -100,7 +100,8 @@ def pack_shard(rows: pd.DataFrame, capacity: int = CAPACITY, per_source: int = P
     return pd.DataFrame(out, columns=["doc_id", "piece", "bin", "start", "size"])
 
 
-PACKED = "shard long, doc_id long, piece int, bin long, start long, size long"
+#: Ids pass through pandas as text, which keeps nulls beside ids above 2**53.
+PACKED = "shard long, doc_id string, piece int, bin long, start long, size long"
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> DataFrame:
@@ -108,17 +109,23 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
 
     ``bin_id`` is shard * 2**32 + bin.
     """
-    n = max(1, -(-rows.count() // SHARD))
-    # rows of one id may be many (repeats of a mix): their places in a shard come from a hash of the row and a count
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "size", F.monotonically_increasing_id()), F.lit(n)))
+    names = ["doc_id", "source", "cluster", "size"]
+    # equal rows (repeats of a mix, say) are counted and numbered, so that the deal depends on the rows alone; in blocks,
+    # so that no array holds all numbers of a row that stands very often
+    alike = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n_alike"))
+    n = max(1, -(-(alike.agg(F.sum("n_alike")).first()[0] or 0) // SHARD))
+    blocks = alike.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_alike") - 1) / SHARD))))
+    first = F.col("block") * SHARD
+    each = blocks.select(*names, F.explode(F.sequence(first, F.least(first + SHARD, "n_alike") - 1)).alias("number"))
+    dealt = each.withColumn("shard", F.pmod(F.xxhash64(*names, "number"), F.lit(n)))
 
     def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pack_shard(pdf.sort_values(["size", "doc_id"], ascending=False, kind="stable"), capacity, per_source)
+        out = pack_shard(pdf.sort_values(["size", "doc_id", "cluster", "source"], ascending=False, kind="stable"), capacity, per_source)
         out.insert(0, "shard", key[0])
         return out
 
-    out = dealt.select("shard", "doc_id", "source", "cluster", "size").groupBy("shard").applyInPandas(packed, PACKED)
-    return out.select("doc_id", "piece", (F.shiftleft("shard", 32) + F.col("bin")).alias("bin_id"), "start", "size")
+    out = dealt.select("shard", F.col("doc_id").cast("string").alias("doc_id"), "source", F.col("cluster").cast("string").alias("cluster"), "size").groupBy("shard").applyInPandas(packed, PACKED)
+    return out.select(F.col("doc_id").cast(rows.schema["doc_id"].dataType).alias("doc_id"), "piece", (F.shiftleft("shard", 32) + F.col("bin")).alias("bin_id"), "start", "size")
 
 
 def sized(docs: DataFrame) -> DataFrame:

@@ -181,6 +181,27 @@ def test_packing_is_valid_and_tight(spark, awkward):
         assert max(collections.Counter(source[g["doc_id"]] for g in v).values()) <= packing.PER_SOURCE
 
 
+def test_packing_depends_on_rows_alone(spark, monkeypatch):
+    """Other partitions and another order give the same bins; ids above 2**53 beside null ones pass unharmed."""
+    import random
+
+    monkeypatch.setattr(packing, "SHARD", 16)
+    rng = random.Random(3)
+    rows = [(None if i % 11 == 0 else (1 << 60) + i // 2, rng.choice(["a", "b", None]), None if i % 5 == 0 else (1 << 61) + i % 40, rng.randrange(3000)) for i in range(150)]
+    rows += [(None, None, None, 0)] * 90 + [(7, "a", 9, 20)] * 50
+    packs = []
+    for parts in (1, 5):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, source string, cluster long, size long").repartition(parts)
+        packs.append(sorted(map(repr, packing.pack(df).collect())))
+        assert packing.pack(df).dtypes[0] == ("doc_id", "bigint")
+    assert packs[0] == packs[1]
+    got = packing.pack(df).collect()
+    assert collections.Counter(g["doc_id"] for g in got if not g["piece"]) == collections.Counter(r[0] for r in rows)
+    seven = [g["bin_id"] for g in got if g["doc_id"] == 7]
+    assert len(seven) == len(set(seven)) == 50
+
+
 def test_packer_takes_the_tightest_compatible_bin():
     import random
 
