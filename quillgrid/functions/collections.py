@@ -134,12 +134,25 @@ def bytes_count(b: Column, x: bytes) -> Column:
     return F.size(F.filter(F.sequence(F.lit(0), F.length(b) - 1), lambda i: F.substring(pairs, 2 * i + 1, F.lit(2)) == F.lit(x.hex().upper())))
 
 
+def bytes_append(b: Column, x: int) -> Column:
+    return F.concat(b, F.unhex(F.lit(f"{x:02x}")))
+
+
+def bytes_get(b: Column, i: int) -> Column:
+    """The byte at a place (negative ones count from the end), as a number; null beyond."""
+    one = F.hex(F.substring(b, i + 1 if i >= 0 else i, 1))
+    return F.when((F.length(b) > i) if i >= 0 else (F.length(b) >= -i), F.conv(one, 16, 10).cast("int"))
+
+
 # comparison and hashing
 
 
-def compare(a: Column, b: Column) -> Column:
-    """Equality of contents; nulls are equal."""
-    return a.eqNullSafe(b)
+def compare(a: Column, b: Column, tags_a: Column | None = None, tags_b: Column | None = None) -> Column:
+    """Equality of contents; nulls are equal.  With arrays of tags, those are to be the same too, in any order."""
+    same = a.eqNullSafe(b)
+    if tags_a is None or tags_b is None:
+        return same
+    return same & set_of(tags_a).eqNullSafe(set_of(tags_b))
 
 
 def stable_hash(*cols: Column) -> Column:

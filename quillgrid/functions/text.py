@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 #: Letters with diacritics and what they become.
 DIACRITICS, PLAIN = "ĄĆĘŁŃÓŚŻŹ", "ACELNOSZZ"
-DELIMITERS = r"[\s\-_.,;:/\\|()\[\]{}<>'\"!?&+*=#@]+"
+#: What separates words, besides white space.  Other signs are dropped inside a word.
+SEPARATORS = ".,;:-!?\"'"
+DELIMITERS = r"(?U)[\s" + SEPARATORS.replace("-", r"\-") + "]+"
 
 
 def taggify(text: Column, max_len: int | None = 3, min_len: int = 1, suffix: bool = False) -> Column:

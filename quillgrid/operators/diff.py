@@ -36,6 +36,24 @@ def select_modified(q: Query, before: View, after: View, type_name: str, same: C
     return rows.filter(~F.coalesce(same(F.col("old"), F.col("new")), F.lit(False))) if same else rows
 
 
+class SnapshotWindow:
+    """The views of two states, from first to last, as a context: ``with SnapshotWindow(p, 3, 7) as (before, after)``.
+
+    ``source`` gives the view of a state: a prefix, or a function.  Without a first state (or one under 1) the window
+    begins at state 1; without a last one it ends at the present.
+    """
+
+    def __init__(self, source, first: int | None = None, last: int | None = None):
+        at = getattr(source, "snapshot", source)
+        self.views = at(max(first or 1, 1)), at(last)
+
+    def __enter__(self) -> tuple[View, View]:
+        return self.views
+
+    def __exit__(self, *error) -> None:
+        return None
+
+
 def split_by_snapshots(q: Query, *views: View, type_name: str) -> DataFrame:
     """oid and the versions (struct s1 .. sn) of the query's objects in each view; inner join on oid."""
     out = q.ids().select("oid").distinct()

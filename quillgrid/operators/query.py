@@ -13,14 +13,38 @@ from ..plans import ir
 from ..plans.ir import And, At, Filter, Ids, Not, Or, Range, Slice, Sort, Split, Tag, Type, term
 
 
+#: Up to so many places a top-k numbers them in one task; beyond, places come from a range-partitioned sort.
+TOP = 100_000
+
+
 class View:
     """What queries read: objects by type (oid, attributes), tags (oid, kind, scope, key), indexes (key, oid).
 
-    ``parents`` maps a class to its base.  ``earlier`` gives the view of an earlier state.
+    ``parents`` maps a class to its base.  ``earlier`` gives the view of an earlier state.  ``name`` tells views of
+    different prefixes apart.  ``type_of`` names the type of an id where the id itself tells it.
     """
 
-    def __init__(self, objects: dict[str, DataFrame], tags: DataFrame | None = None, indexes: dict[str, DataFrame] | None = None, parents: dict[str, str] | None = None, earlier: Callable[[int], View] | None = None, state: int | None = None):
+    def __init__(self, objects: dict[str, DataFrame], tags: DataFrame | None = None, indexes: dict[str, DataFrame] | None = None, parents: dict[str, str] | None = None, earlier: Callable[[int], View] | None = None, state: int | None = None, name: str = "", type_of: Callable[[int], str | None] | None = None):
         self.types, self.tag_rows, self.indexes, self.parents, self.earlier, self.state = objects, tags, indexes or {}, parents or {}, earlier, state
+        self.name, self.type_of = name, type_of
+
+    def nothing(self) -> DataFrame:
+        some = next(iter(self.types.values()), self.tag_rows)
+        return some.sparkSession.createDataFrame([], "oid long")
+
+    def reference_counts(self, name: str) -> DataFrame:
+        """(oid, n) of a type's objects: how many objects carry each as a tag."""
+        held = self.tag_rows.filter("kind = 'obj'").groupBy(F.col("key").cast("long").alias("oid")).agg(F.count(F.lit(1)).alias("n"))
+        return self.ids_of(name).join(held, "oid", "left").select("oid", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+    def instance_count(self, name: str) -> int:
+        """Objects of a class and its subclasses."""
+        return self.ids_of(name).count()
+
+    def expired(self, refs: DataFrame) -> DataFrame:
+        """Of ``refs`` (oid) those whose object no longer exists: what weak proxies to them would find."""
+        every = reduce(DataFrame.union, [t.select("oid") for t in self.types.values()], self.nothing())
+        return refs.join(every, "oid", "left_anti")
 
     def closure(self, name: str) -> list[str]:
         """A class and its subclasses."""
@@ -51,7 +75,7 @@ class View:
 
     def find(self, *criteria: Any) -> Query:
         """Objects that meet all criteria; only the first may be a type, and negation needs a positive part."""
-        terms = tuple(term(c) for c in criteria)
+        terms = tuple(term(c) for c in criteria)  # none at all find nothing
         if any(isinstance(t, Sort) or (isinstance(t, Slice) and isinstance(t.query, Sort)) for t in terms):
             raise ValueError("Invalid object iterator: a sorted query is not a criterion")
         if any(isinstance(t, Type) for t in terms[1:]):
@@ -107,11 +131,32 @@ class Query:
         order = _order(self.view, self.ir)
         return order[0].orderBy(*order[1])
 
-    def filter(self, type_name: str, predicate: Column | str | Callable) -> Query:
-        """By a Column expression in SQL (pushed into the scan), or a Python function of a row (slow path)."""
+    def filter(self, type_name: str, predicate: str | Callable, columns: Sequence[str] = ()) -> Query:
+        """By a Column expression in SQL (pushed into the scan), or a Python function of a row (Arrow batches).
+
+        A function is given the named ``columns`` only, so that the scan reads no others; by default all.  A slice stays
+        a slice of the unfiltered query, whichever was asked for first.
+        """
         if isinstance(predicate, str):
             return Query(self.view, Filter(self.ir, type_name, predicate))
-        return Query(self.view, Filter(self.ir, type_name, None, predicate))
+        return Query(self.view, Filter(self.ir, type_name, None, predicate, tuple(columns)))
+
+    def project(self, type_name: str, *columns: str | Column) -> DataFrame:
+        """oid and the named attributes of the result's objects."""
+        return self.rows(type_name).select("oid", *columns)
+
+    def contains(self, refs: DataFrame) -> DataFrame:
+        """``refs`` (oid) with a column ``found``: is it in the result?"""
+        own = self.ids().select("oid").distinct().withColumn("found", F.lit(True))
+        return refs.join(own, "oid", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+    def __contains__(self, oid: int) -> bool:
+        return not self.ids().filter(F.col("oid") == oid).isEmpty()
+
+    @property
+    def snapshot(self) -> View:
+        """The view that the query reads."""
+        return self.view
 
     def __len__(self) -> int:
         return self.ids().count()
@@ -126,6 +171,9 @@ class Query:
             return self.pick(key)
         if key == slice(None):
             return self
+        if isinstance(self.ir, Filter):
+            inner = Query(self.view, self.ir.query)[key]
+            return Query(self.view, Filter(inner.ir, self.ir.type, self.ir.expr, self.ir.fn, self.ir.columns))
         if isinstance(self.ir, Slice):
             raise ValueError("a sliced query cannot be sliced again")
         start, stop, step = key.start, key.stop, key.step or 1
@@ -141,7 +189,8 @@ class Query:
 
     def pick(self, *places: int) -> list[int]:
         """The ids at places, in the order asked for; IndexError beyond the end."""
-        got = {r["at"]: r["oid"] for r in numbered(self).filter(F.col("at").isin([*places])).collect()}
+        most = max(places, default=0) + 1
+        got = {r["at"]: r["oid"] for r in numbered(self, most).filter(F.col("at").isin([*places])).collect()}
         if missing := [p for p in places if p not in got]:
             raise IndexError(missing[0])
         return [got[p] for p in places]
@@ -179,16 +228,27 @@ def _order(view: View, node: Any) -> tuple[DataFrame, list[Column]]:
     return df, [*by, F.col("oid").desc() if keys[0].desc else F.col("oid").asc()]
 
 
+def by_row(fn: Callable, kind: str, of: Callable = lambda x: x) -> Callable[[Column], Column]:
+    """A function of rows (named tuples) as one of a struct column, in Arrow batches."""
+    import pandas as pd
+
+    def values(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([of(fn(r)) for r in rows.itertuples(index=False)], dtype=object)
+
+    values.__annotations__ = {"rows": pd.DataFrame, "return": pd.Series}
+    return F.pandas_udf(values, kind)
+
+
 def numbered(q: Query, most: int | None = None) -> DataFrame:
     """oid and ``at``, the place in the query's order from 0.
 
-    With ``most``, only the first so many places: a top-k, of which the single ordering task gets ``most`` rows a task.
-    Without, places come from a range-partitioned sort and the partitions' sizes, not from one task.
+    With ``most``, up to TOP, only the first so many places: a top-k, of which the single ordering task gets ``most`` rows
+    a task.  Else places come from a range-partitioned sort and the partitions' sizes, not from one task.
     """
     df, by = _order(q.view, q.ir)
     if isinstance(q.ir, Slice):
         return df.select("oid", "pos").withColumnRenamed("pos", "at")
-    if most is not None:
+    if most is not None and most <= TOP:
         top = df.orderBy(*by).limit(most)
         return top.select("oid", (F.row_number().over(Window.orderBy(*by)) - 1).cast("long").alias("at"))
     part = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())
@@ -206,6 +266,11 @@ def lower(view: View, node: Any) -> DataFrame:
         return view.ids_of(node.name)
     if isinstance(node, Tag):
         return view.tagged([node]).select("oid")
+    if isinstance(node, Ids) and view.type_of is not None:
+        by: dict[str | None, list[int]] = {}
+        for oid in node.oids:
+            by.setdefault(view.type_of(oid), []).append(oid)
+        return reduce(DataFrame.union, [view.types[t].select("oid").filter(F.col("oid").isin(own)) for t, own in by.items() if t in view.types], view.nothing())
     if isinstance(node, Ids):
         every = reduce(DataFrame.union, [view.ids_of(t) for t in view.types if t not in view.parents]) if view.types else None
         return every.filter(F.col("oid").isin([*node.oids]))
@@ -214,6 +279,8 @@ def lower(view: View, node: Any) -> DataFrame:
         parts = [view.tagged(tags).select("oid")] if tags else []
         parts += [lower(view, t).select("oid") for t in node.terms if not isinstance(t, Tag)]
         return reduce(DataFrame.union, parts).distinct()
+    if isinstance(node, And) and not node.terms:
+        return view.nothing()
     if isinstance(node, And):
         positive = [t for t in node.terms if not isinstance(t, Not)]
         wide = [t for t in positive if isinstance(t, Split | Filter)]
@@ -246,8 +313,8 @@ def lower(view: View, node: Any) -> DataFrame:
         objects = view.objects(node.type)
         if node.fn is None:
             return base.join(objects.filter(node.expr).select("oid"), "oid", "left_semi")
-        test = F.udf(lambda r: bool(node.fn(r)), "boolean")
-        return base.join(objects.filter(test(F.struct(*objects.columns))).select("oid"), "oid", "left_semi")
+        test = by_row(node.fn, "boolean", bool)
+        return base.join(objects.filter(test(F.struct(*(node.columns or objects.columns)))).select("oid"), "oid", "left_semi")
     if isinstance(node, Sort):
         return _order(view, node)[0]
     if isinstance(node, Slice):

@@ -80,6 +80,7 @@ class Filter:
     type: str
     expr: str | None = None
     fn: Any = field(default=None, compare=False)
+    columns: tuple = ()
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.query import View
+from .prefix import Prefix, Workspace
+from .scratch import scratch_path
 
 #: Ids are key * 16 + the type's code, so that they differ between types.
 CODES = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part": 5, "orders": 6, "users": 7}
@@ -38,7 +40,8 @@ def view(spark: SparkSession, sf_dir: str) -> View:
         "date": o.select(F.col("o_orderdate").alias("key"), "oid"),
         "size": objects["part"].select(F.col("p_size").cast("long").alias("key"), "oid"),
     }
-    return View(objects, reduce(DataFrame.unionByName, rows), indexes, {"customer": "party", "supplier": "party"})
+    by_code = {c: t for t, c in CODES.items()}
+    return View(objects, reduce(DataFrame.unionByName, rows), indexes, {"customer": "party", "supplier": "party"}, name=sf_dir, type_of=lambda x: by_code.get(x % 16))
 
 
 def history(spark: SparkSession, sf_dir: str, state: int | None = None) -> View:
@@ -48,4 +51,41 @@ def history(spark: SparkSession, sf_dir: str, state: int | None = None) -> View:
     last = e.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value", "day"), F.struct("ts", "event_id")).alias("v"))
     users = last.select((F.col("user_id") * 16 + CODES["users"]).alias("oid"), "user_id", "v.event_id", "v.event_type", "v.value", F.col("v.event_id").alias("version"))
     tags = users.select("oid", F.lit("str").alias("kind"), F.lit("").alias("scope"), F.col("event_type").alias("key"))
-    return View({"users": users}, tags, {}, {}, lambda s: history(spark, sf_dir, s), state)
+    return View({"users": users}, tags, {}, {}, lambda s: history(spark, sf_dir, s), state, f"{sf_dir}/users")
+
+
+_stored: dict[tuple, Prefix] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Prefix:
+    """Suppliers and a singleton in a prefix of five states, written once a session in the shared folder.
+
+    1: suppliers (key, nation, balance in cents), tagged rich above 500000 cents, indexed by nation.  2: those of a key
+    divisible by 3 get status gold.  3: those divisible by 4 lose rich, even ones gain even.  4: those divisible by 5 are
+    deleted and leave the index, those one above a multiple of 7 are touched.  5: nation is renamed to country, settings
+    is stored.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _stored:
+        return _stored[key]
+    p = Workspace(spark, scratch_path(spark, "workspace")).open("suppliers")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("oid"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("nation"), F.round(F.col("s_acctbal") * 100).cast("long").alias("cents"))
+    of = lambda where: rows.filter(where).select("oid")
+    p.put("supplier", rows.withColumn("status", F.lit(None).cast("string")))
+    p.tag(of("cents > 500000"), "rich")
+    p.index("nation", rows.select(F.col("nation").alias("key"), "oid"))
+    p.commit()
+    p.assign("supplier", of("oid % 3 = 0"), status="gold")
+    p.commit()
+    p.tag(of("oid % 4 = 0"), "rich", remove=True)
+    p.tag(of("oid % 2 = 0"), "even")
+    p.commit()
+    p.touch("supplier", of("oid % 7 = 1"))
+    p.delete("supplier", of("oid % 5 = 0"))
+    p.index("nation", rows.filter("oid % 5 = 0").select(F.col("nation").alias("key"), "oid"), remove=True)
+    p.commit()
+    p.rename_field("supplier", "nation", "country")
+    p.put("settings", spark.createDataFrame([(1 << 40, "dark")], "oid long, theme string"))
+    p.commit()
+    _stored[key] = p
+    return p

@@ -7,16 +7,27 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write and read again: what follows neither recomputes it nor depends on an executor's disk."""
-    sc = df.sparkSession.sparkContext
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder.
+
+    Where none is set a local master gets a temporary one, removed at exit; on a cluster that is an error, as executors
+    would not see it.
+    """
+    sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_quillgrid_tables", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = sc._quillgrid_tables = tempfile.mkdtemp(prefix="quillgrid-")
         atexit.register(shutil.rmtree, base, True)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write and read again: what follows neither recomputes it nor depends on an executor's disk."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
