@@ -14,6 +14,9 @@ A byte is removed if a LENGTH-byte string that covers it also starts anywhere el
    windows of the two stand together: so every window is compared with all others of its task in a logarithmic number
    of merges.
 
+A key of a hot group (near copies of one text, say) may have any number of different runs.  One of over HOT kinds is not
+compared in one task: the windows of its runs are dealt out by hashes of 128 bits, and those of equal hashes match.
+
 The pipeline's stage removes, besides, what stands in a repeated passage of WORDS words.  There the same three steps
 run over texts whose words are coded as CODE bytes each (the word's hash), with windows of WORDS codes; spans shrink to
 whole codes.  Windows off the codes' bounds can only add a word if 64 bits agree by chance.
@@ -43,6 +46,8 @@ LENGTH, MER = 400, 32
 WORDS, CODE = 51, 8
 #: Bytes of text that are hashed at once; bytes of a batch; bytes of runs that a task should get.
 STRETCH, BATCH, SHARE = 1 << 22, 1 << 21, 3 << 19
+#: A key with more kinds of run is dealt out by the hashes of its windows, so many kinds a shard.
+HOT = 512
 
 U64 = np.uint64
 
@@ -245,17 +250,57 @@ def intervals(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+ROUTED = "route long, key long, body long, data binary, starts binary"
 MATCHES = "key long, body long, spans array<struct<a:int,b:int>>"
 
 
+def routed(key: int, body: int, data: bytes, kinds: int, length: int) -> list[tuple]:
+    """A run as rows of ROUTED: itself, or if its key has over HOT kinds of run, the hashes of its windows by shard."""
+    import xxhash
+
+    if kinds <= HOT:
+        return [(key, key, body, data, None)]
+    view = memoryview(data)
+    digests = b"".join(xxhash.xxh3_128_digest(view[i : i + length]) for i in range(len(data) - length + 1))
+    hashes = np.frombuffer(digests, U64).reshape(-1, 2)
+    shard = hashes[:, 0] % U64(-(-kinds // HOT))
+    out = []
+    for s in np.unique(shard).tolist():
+        at = np.flatnonzero(shard == s)
+        route = xxhash.xxh3_64_intdigest(b"%d %d" % (key, s))
+        out.append((route - (1 << 64) if route >> 63 else route, key, body, hashes[at].tobytes(), at.astype(np.int32).tobytes()))
+    return out
+
+
+def equal_hashes(rows: list[tuple]) -> Iterator[tuple]:
+    """Matched windows of rows (key, body, hashes, starts): those whose hash of 128 bits stands in more than one place."""
+    hashes = np.concatenate([np.frombuffer(r[2], U64).reshape(-1, 2) for r in rows])
+    order = np.lexsort((hashes[:, 0], hashes[:, 1]))
+    same = (hashes[order[1:]] == hashes[order[:-1]]).all(axis=1)
+    equal = np.zeros(len(hashes), bool)
+    equal[order[1:]] |= same
+    equal[order[:-1]] |= same
+    at = 0
+    for key, body, _, starts in rows:
+        own = np.frombuffer(starts, np.int32)
+        if len(hit := own[equal[at : at + len(own)]]):
+            first = np.flatnonzero(np.concatenate([[True], np.diff(hit) > 1]))
+            last = np.append(first[1:], len(hit)) - 1
+            yield key, body, [{"a": int(hit[a]), "b": int(hit[b]) + 1} for a, b in zip(first, last, strict=True)]
+        at += len(own)
+
+
 def compare_runs(bodies: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
-    """Matched windows of runs (key, body, data): spans of window starts within the run."""
+    """Matched windows of runs (ROUTED): spans of window starts within the run."""
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        family, names, counts = Family(length), [], []
+        family, names, counts, hot = Family(length), [], [], []
         waiting, size = [], 0
         for batch in batches:
-            for key, body, data in zip(batch["key"], batch["body"], batch["data"], strict=True):
+            for key, body, data, starts in zip(batch["key"], batch["body"], batch["data"], batch["starts"], strict=True):
+                if starts is not None:
+                    hot.append((key, body, data, starts))
+                    continue
                 if waiting and size + len(data) > BATCH:
                     family.add(waiting)
                     waiting, size = [], 0
@@ -270,10 +315,24 @@ def compare_runs(bodies: DataFrame, parts: int, length: int = LENGTH) -> DataFra
             if spans := intervals(flags[at : at + n]):
                 out.append((key, body, [{"a": a, "b": b} for a, b in spans]))
             at += n
+        if hot:
+            out += equal_hashes(hot)
         for i in range(0, len(out), 10_000):
             yield pd.DataFrame(out[i : i + 10_000], columns=["key", "body", "spans"])
 
-    return bodies.repartition(parts, "key").mapInPandas(compared, MATCHES)
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def joined(spans: pd.Series) -> pd.Series:
+        out = []
+        for own in spans:
+            flags = np.zeros(max(s["b"] for s in own), bool)
+            for s in own:
+                flags[s["a"] : s["b"]] = True
+            out.append([{"a": a, "b": b} for a, b in intervals(flags)])
+        return pd.Series(out, dtype=object)
+
+    found = bodies.repartition(parts, "route").mapInPandas(compared, MATCHES)
+    found = found.groupBy("key", "body").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return found.select("key", "body", joined("spans").alias("spans"))
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, encode: Callable[[str], bytes] = plain) -> DataFrame:
@@ -288,22 +347,24 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, encode: Callable[[str],
     shared = written(by_key.filter("kinds > 1 or most > 1 or folded"), "keys")
     # one kind of run, in many places: all its windows match
     alone = shared.filter("kinds = 1 and most > 1").select("key", "body", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.end") - F.col("at.first")).alias("b"))).alias("spans"))
-    various = shared.filter("kinds > 1 or most = 1").select("key")
-    distinct = written(bodies.join(various, "key").select("key", "body", "n", "at.*"), "distinct")
-    wanted = distinct.groupBy("text_key").agg(F.collect_list(F.struct("key", "body", "first", "end")).alias("cuts"))
+    various = shared.filter("kinds > 1 or most = 1").select("key", "kinds")
+    distinct = written(bodies.join(various, "key").select("key", "body", "n", "kinds", "at.*"), "distinct")
+    wanted = distinct.groupBy("text_key").agg(F.collect_list(F.struct("key", "body", "first", "end", "kinds")).alias("cuts"))
     texts = docs.select("text", F.unhex(F.md5("text")).alias("text_key")).join(wanted, "text_key")
-    size = distinct.agg(F.sum(F.col("end") - F.col("first") + length)).first()[0] or 0
+    windows = F.col("end") - F.col("first")
+    size = distinct.agg(F.sum(F.when(F.col("kinds") > HOT, 20 * windows).otherwise(windows + length))).first()[0] or 0
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for text, cuts in zip(batch["text"], batch["cuts"], strict=True):
                 data = encode(text)
-                out += [(c["key"], c["body"], data[c["first"] : c["end"] + length - 1]) for c in cuts]
-            yield pd.DataFrame(out, columns=["key", "body", "data"])
+                for c in cuts:
+                    out += routed(c["key"], c["body"], data[c["first"] : c["end"] + length - 1], c["kinds"], length)
+            yield pd.DataFrame(out, columns=["route", "key", "body", "data", "starts"])
 
     # a text may stand in many rows: of its copies one is cut
-    data = texts.dropDuplicates(["text_key"]).select("text", "cuts").mapInPandas(cut, "key long, body long, data binary")
+    data = texts.dropDuplicates(["text_key"]).select("text", "cuts").mapInPandas(cut, ROUTED)
     matched = compare_runs(data, max(1, -(-size // SHARE)), length)
     often = distinct.filter("n > 1").select("key", "body", F.array(F.struct(F.lit(0).alias("a"), (F.col("end") - F.col("first")).alias("b"))).alias("spans"))
     matched = matched.join(often.select("key", "body"), ["key", "body"], "left_anti").unionByName(often)

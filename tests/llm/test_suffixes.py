@@ -73,6 +73,24 @@ def test_keys_that_end_in_zero_bytes(spark, tmp_path):
     assert all(g["n_removed"] >= 500 for g in got)
 
 
+def test_hot_keys(spark, tmp_path, monkeypatch):
+    """Near copies by the dozen, dealt out by window hashes: the same answers as any key's."""
+    rng = random.Random(12)
+    monkeypatch.setattr(suffixes, "HOT", 8)
+    base = "".join(rng.choice("abcdefgh \n") for _ in range(2500))
+    rows = []
+    for i in range(90):
+        near = list(base[rng.randrange(300) : 2500 - rng.randrange(300)])
+        for _ in range(rng.randrange(1, 9)):
+            near[rng.randrange(len(near))] = rng.choice("XYZé")
+        rows.append((i, "".join(near), "en", "a", 1))
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    routes = suffixes.routed(5, 6, base.encode(), 40, 400)
+    assert len(routes) == 5 and sum(len(r[4]) // 4 for r in routes) == 2101
+    check(rows, collected(suffixes.op5_suffix_dedup(spark, d)))
+
+
 def test_family_equals_one_array():
     rng = random.Random(1)
     base = bytes(rng.randrange(256) for _ in range(2000))
