@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where it is unset, as in tests on one machine, a temporary folder is set, removed at exit.
+    Where it is unset, a local master (as in tests) gets a temporary folder, removed at exit; on a cluster that is an
+    error, as executors would not see it.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_quillgrid_scratch", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = sc._quillgrid_scratch = tempfile.mkdtemp(prefix="quillgrid-")
         atexit.register(shutil.rmtree, base, True)
     return base
@@ -35,24 +41,40 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_tables: list[str] = []
+#: Tables written, by the run that owns them; the run at hand ("" outside any).
+_tables: dict[str, list[str]] = {"": []}
+_owner = contextvars.ContextVar("owner", default="")
+
+
+@contextlib.contextmanager
+def owned(run: str) -> Iterator[None]:
+    """What is written within belongs to a run: only that run's ``forget_tables`` deletes it."""
+    mark = _owner.set(_owner.get() or run)
+    _tables.setdefault(_owner.get(), [])
+    try:
+        yield
+    finally:
+        _owner.reset(mark)
 
 
 def tables_so_far() -> int:
-    return len(_tables)
+    return len(_tables[_owner.get()])
 
 
 def forget_tables(docs: DataFrame, since: int = 0) -> None:
-    """Delete the tables written so far (after the first ``since``) that ``docs`` doesn't read.
+    """Delete the tables that the run at hand has written (after the first ``since``) and that ``docs`` doesn't read.
 
-    For a stage whose predecessors' results have been written elsewhere: theirs are no longer needed.
+    For a stage whose predecessors' results have been written elsewhere: theirs are no longer needed.  Outside a run
+    nothing goes, as lazy results of other queries may read it.
     """
-    spark = docs.sparkSession
+    spark, own = docs.sparkSession, _tables[_owner.get()]
+    if not _owner.get():
+        return
     used = "\n".join(docs.inputFiles())
-    for path in [p for p in _tables[since:] if p.rsplit("/", 1)[1] not in used]:
+    for path in [p for p in own[since:] if p.rsplit("/", 1)[1] not in used]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _tables.remove(path)
+        own.remove(path)
     release_shuffles(spark)
 
 
@@ -62,7 +84,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     A lost executor costs no recomputation of what is written.
     """
     path = fresh_path(df.sparkSession, name)
-    _tables.append(path)
+    _tables[_owner.get()].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

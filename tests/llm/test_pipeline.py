@@ -15,6 +15,16 @@ def test_stages_keep_columns_and_run(spark, awkward, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
+def test_other_queries_keep_their_tables(spark, awkward):
+    """A lazy result of another query, and of an earlier run, can still be read after the pipeline has run."""
+    from quillgrid.llm.suffixes import op5_suffix_dedup
+
+    d, rows = awkward
+    other, first = op5_suffix_dedup(spark, d), corpus_pipeline.run(spark, d)
+    n = corpus_pipeline.run(spark, d).count()
+    assert other.count() == len(rows) and first.count() == n
+
+
 def test_near_duplicate_stage_keeps_one_of_each_group(spark, awkward):
     d, rows = awkward
     docs = spark.read.parquet(f"{d}/documents.parquet")
