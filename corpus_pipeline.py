@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm.common import forget_tables, table, written
+from quillgrid.llm.common import forget_tables, owned, table, written
 from quillgrid.llm.mixing import mix_stage
 from quillgrid.llm.packing import packing_stage
 from quillgrid.llm.quality import quality_stage
@@ -22,8 +23,9 @@ def after_writing(stage: Stage) -> Stage:
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        forget_tables(docs)
-        return stage(spark, docs, sf_dir)
+        with owned("stages"):
+            forget_tables(docs)
+            return stage(spark, docs, sf_dir)
 
     return run_stage
 
@@ -42,7 +44,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with owned(uuid.uuid4().hex):
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)
