@@ -234,7 +234,8 @@ def rest_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, least: fl
     per_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     blocks = lambda c: F.ceil(c / NODES).cast("int")
     mixed = per_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    mixed = mixed.select("key", F.col("main.root").alias("main"), blocks(F.col("main.c")).alias("n_main"), blocks(F.col("m") - F.col("main.c")).alias("n_other"))
+    # written, so that the join is not bound to the aggregate's partitioning and a large bucket's rows can be split
+    mixed = written(mixed.select("key", F.col("main.root").alias("main"), blocks(F.col("main.c")).alias("n_main"), blocks(F.col("m") - F.col("main.c")).alias("n_other")), "mixed")
     rows = rooted.join(mixed, "key").withColumn("is_main", F.col("root") == F.col("main"))
     rows = rows.withColumn("i", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_other"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -285,6 +286,7 @@ def near_roots(nodes: DataFrame, least: float, linked: Callable[[DataFrame], Dat
     banded = nodes.select("node", F.posexplode(keys).alias("band", "key"))
     drawn = [F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("by"), F.col("node").alias("is"))).getField("is") for t in range(REPS)]
     buckets = banded.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("reps"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = written(buckets, "buckets")
     shared = written(banded.join(buckets, "key").select("band", "key", "node", "reps", "n"), "shared")
     by_band = shared.select(F.col("node").alias("x"), F.explode("reps").alias("y"))
     pairs = by_fp.union(same_fp).union(by_band).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
