@@ -1,9 +1,10 @@
 """Exact token counts by a map-side lookup in two tiers.
 
-A text is cut into pre-tokens by the tokenizer's own rule.  Tier one is a broadcast table of pre-token lengths: the
-entries of the vocabulary that are whole pre-tokens, which byte-pair training picked by frequency; it has at most as
-many entries as the vocabulary, whatever the corpus.  What it misses is encoded by the library once per Python worker
-and kept in a bounded cache.  No pre-token is ever shuffled, and the counts are those of the library on whole texts.
+A text is cut into pre-tokens by the tokenizer's own rule.  Tier one is a broadcast table of the lengths of the corpus's
+most frequent pre-tokens, at most FREQUENT of them.  They are found over all texts by frequent-item sketches of bounded
+size: each task folds its pre-tokens into one, and only sketches move.  What the table misses is encoded by the library
+once per Python worker and kept in a bounded cache.  No pre-token is ever shuffled, and the counts are those of the
+library on whole texts, whichever pre-tokens a sketch returns.
 
 Texts for which cutting could differ from the library's (characters outside the ranges of SAFE, special strings of
 the tokenizer) are encoded whole by the library.
@@ -13,6 +14,7 @@ Defined cases: a null text counts as an empty one: 0 bytes, 0 tokens.  Order, re
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,8 +28,10 @@ from .common import table, text_or_empty
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of other characters go to the library whole.
 SAFE = r"[\t\n\r\x20-\x7e -¬®-ȳΑ-ΡΣ-ωА-я‐-‧€]*"
-#: Longest pre-token that a worker's cache keeps, and the most entries of a cache.
+#: Longest pre-token that the table and a worker's cache keep, and the most entries of a cache.
 KEPT_CHARS, CACHE_ENTRIES = 48, 1_000_000
+#: Entries of the broadcast table; items that a sketch tracks; sketches that are merged before the last one.
+FREQUENT, TRACKED, GROUPS = 20_000, 65_536, 64
 
 _worker: dict = {}
 
@@ -50,13 +54,21 @@ def _load(path: str):
     return t
 
 
-def frequent_lengths(path: str) -> dict[str, int]:
-    """Lengths in tokens of the vocabulary's entries that are whole pre-tokens."""
-    t = _load(path)
-    special = {x.content for x in t.get_added_tokens_decoder().values()}
-    texts = t.decode_batch([[i] for i in range(t.get_vocab_size())], skip_special_tokens=False)
-    cut = regex.compile(PRE_TOKEN)
-    whole = sorted({x for x in texts if x and x not in special and "�" not in x and cut.fullmatch(x)})
+def frequent(docs: DataFrame, text: str = "text", n: int = FREQUENT) -> list[str]:
+    """The ``n`` most frequent pre-tokens of all texts, as far as a sketch tells; in two steps of merging."""
+    pre = F.explode(F.regexp_extract_all(F.col(text), F.lit(PRE_TOKEN), F.lit(0)))
+    rows = docs.filter(F.col(text).isNotNull()).select(pre.alias("pre"), (F.spark_partition_id() % GROUPS).alias("part")).filter(F.length("pre") <= KEPT_CHARS)
+    # grouped throughout: without pre-tokens there is no sketch, and no empty one to estimate from
+    parts = rows.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(pre, {TRACKED})").alias("sketch"))
+    top = parts.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch")).select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {n})")).alias("x"))
+    return sorted(r["item"] for r in top.select("x.item").collect())
+
+
+def lengths(path: str, pres: list[str]) -> dict[str, int]:
+    """Lengths in tokens of those of ``pres`` that are whole pre-tokens and hold no special string."""
+    t, cut = _load(path), regex.compile(PRE_TOKEN)
+    special = [x.content for x in t.get_added_tokens_decoder().values()]
+    whole = [x for x in pres if cut.fullmatch(x) and not any(s in x for s in special)]
     return {x: len(e.ids) for x, e in zip(whole, t.encode_batch(whole, add_special_tokens=False), strict=True)}
 
 
@@ -98,14 +110,15 @@ class Counter:
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, the library's count for the whole of each text."""
-    table_ = docs.sparkSession.sparkContext.broadcast(frequent_lengths(path))
+    table_, key = docs.sparkSession.sparkContext.broadcast(lengths(path, frequent(docs, text))), uuid.uuid4().hex
 
     @F.pandas_udf("long")
     def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if path not in _worker:
-            _worker[path] = Counter(path, table_.value)
+        if key not in _worker:
+            _worker.clear()
+            _worker[key] = Counter(path, table_.value)
         for texts in batches:
-            yield texts.map(_worker[path].count, na_action=None).astype("int64")
+            yield texts.map(_worker[key].count, na_action=None).astype("int64")
 
     return docs.withColumn("n_tokens", n_tokens(F.col(text)))
 

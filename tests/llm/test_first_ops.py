@@ -2,6 +2,7 @@ import collections
 import re
 
 import duckdb
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -55,6 +56,18 @@ def test_token_counts_equal_library(spark, awkward):
         assert (g["n_bytes"], g["n_tokens"], g["over_limit"]) == (len(text.encode()), n, n > 1024)
 
 
+def test_frequent_pre_tokens(spark, awkward):
+    """The broadcast table holds what is frequent over all texts, and lengths that are the library's."""
+    d, rows = awkward
+    docs, path = spark.read.parquet(f"{d}/documents.parquet").repartition(5), token_counts.tokenizer_path()
+    n = collections.Counter(x for r in rows for x in regex.findall(token_counts.PRE_TOKEN, r[1] or "") if len(x) <= token_counts.KEPT_CHARS)
+    top = token_counts.frequent(docs, n=20)
+    assert min(n[x] for x in top) >= sorted(n.values())[-20]
+    t, table = token_counts._load(path), token_counts.lengths(path, top)
+    assert set(table) == set(top) and all(k == len(t.encode(x, add_special_tokens=False).ids) for x, k in table.items())
+    assert token_counts.lengths(path, ["<|endoftext|>", "two words", "one"]).keys() == {"one"}
+
+
 def test_language(spark, awkward):
     d, rows = awkward
     got = collected(language.op4_language_id(spark, d))
