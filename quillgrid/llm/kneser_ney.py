@@ -6,6 +6,10 @@ become sorted hash arrays in files of the shared folder.  A second, smaller roun
 each right word.  Workers map the files into memory (pages are shared and evictable) and look up sorted batches of
 hashes.  All texts are counted and every pair is kept; shards grow in number with the corpus.
 
+A first pass over all texts finds the hot left words, those with over 1 / (HOT_PARTS shards) of all tokens in front of
+others.  The pairs of each are dealt by their right word over as many shards as its share asks for, so that no shard
+holds more of them than of other words; their totals, which then come in parts, are added up and travel with the model.
+
 p(w | h) = max(c(hw) - D(c(hw)), 0) / c(h) + g(h) q(w), where g(h) is what the discounts took, q is built likewise from
 the number of different words before w and mixed with 1 / (V + 1); D1, D2, D3+ follow from the counts of counts.
 
@@ -32,6 +36,8 @@ RIGHT_BITS = 40
 RIGHT_MASK = np.uint64((1 << RIGHT_BITS) - 1)
 #: Tokens that a task counts at once; bytes of text for each shard; tokens scored at once.
 TOKENS, SHARD_BYTES, SCORED = 4_000_000, 48 << 20, 1_000_000
+#: Parts of a shard's size into which a hot word's pairs are cut; the least share of the tokens that makes a word hot.
+HOT_PARTS, HOT_SHARE = 4, 1e-6
 U64 = np.uint64
 
 
@@ -59,6 +65,71 @@ def shard_of(left: np.ndarray, shards: int) -> np.ndarray:
     return ((left >> U64(40)) * U64(shards) >> U64(24)).astype(np.int64)
 
 
+Hot = tuple[np.ndarray, np.ndarray]
+NO_HOT: Hot = (np.zeros(0, U64), np.zeros(0, U64))
+
+
+def places(left: np.ndarray, right: np.ndarray, shards: int, hot: Hot) -> np.ndarray:
+    """Shards of pairs: by the left word; by left word and a range of right words where the left one is hot."""
+    words, parts = hot
+    at, there = found(words, left)
+    if there.any():
+        part = (right[there] & RIGHT_MASK) * parts[at[there]] >> U64(RIGHT_BITS)
+        left = left.copy()
+        left[there] = mixed(left[there], part)
+    return shard_of(left, shards)
+
+
+def found(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted values, and whether each is there."""
+    if not len(values):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return at, values[at] == wanted
+
+
+def batches_of_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarray]]:
+    """The texts' hashes, TOKENS or somewhat more at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for text in batch["text"]:
+            held.append(hashes(tokens(text)))
+            size += len(held[-1])
+            if size >= TOKENS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def lefts(held: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.concatenate([[START], h[:-1]]) for h in held])
+
+
+def hot_words(texts: DataFrame, shards: int) -> Hot:
+    """The left words with over a part of a shard of all tokens, sorted, and into how many parts each is cut.
+
+    A word of such a share has it in some batch, and at least half of its tokens are in batches where it has half of it;
+    so batches report only those, a bounded number each, and the result is at most 2 / HOT_SHARE words.
+    """
+    least = max(1 / (HOT_PARTS * shards), HOT_SHARE)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held in batches_of_hashes(batches):
+            words, n = np.unique(lefts(held), return_counts=True)
+            total = int(n.sum())
+            keep = n >= least * total / 2
+            yield pd.DataFrame({"word": np.append(words[keep].view(np.int64), 0), "n": np.append(n[keep], 0), "total": np.append(np.zeros(keep.sum(), np.int64), total)})
+
+    if shards == 1:
+        return NO_HOT
+    rows = written(texts.mapInPandas(counted, "word long, n long, total long"), "hot-words")
+    total = rows.agg(F.sum("total")).first()[0] or 0
+    got = rows.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") > least * total / 2).collect()
+    found_ = sorted((r["word"] % (1 << 64), int(2 * r["n"] / (least * total)) + 1) for r in got)
+    return np.array([w for w, _ in found_], U64), np.array([min(k, 1 << 20) for _, k in found_], U64)
+
+
 def _order(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.lexsort((right, left))
 
@@ -133,29 +204,19 @@ def _map(path: str, dtype: type) -> np.ndarray:
         return np.memmap(copy.name, dtype, "r") if os.path.getsize(copy.name) else np.zeros(0, dtype)
 
 
-def count_pairs(texts: DataFrame, shards: int) -> DataFrame:
+def count_pairs(texts: DataFrame, shards: int, hot: Hot = NO_HOT) -> DataFrame:
     """(shard, data): packed pair counts of each task's texts."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-
-        def flush() -> pd.DataFrame:
-            left = np.concatenate([np.concatenate([[START], h[:-1]]) for h in held])
-            right = np.concatenate(held) & RIGHT_MASK
+        for held in batches_of_hashes(batches):
+            left, right = lefts(held), np.concatenate(held) & RIGHT_MASK
             left, right, n = _sum_equal(left, right, np.ones(len(left), U64))
-            cut = np.searchsorted(shard_of(left, shards), np.arange(shards + 1))
+            shard = places(left, right, shards, hot)
+            by = np.argsort(shard, kind="stable")
+            left, right, n = left[by], right[by], n[by]
+            cut = np.searchsorted(shard[by], np.arange(shards + 1))
             rows = [(s, packed(left[a:b], right[a:b], n[a:b])) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
-            return pd.DataFrame(rows, columns=["shard", "data"])
-
-        for batch in batches:
-            for text in batch["text"]:
-                held.append(hashes(tokens(text)))
-                size += len(held[-1])
-                if size >= TOKENS:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+            yield pd.DataFrame(rows, columns=["shard", "data"])
 
     return texts.mapInPandas(counted, "shard int, data binary")
 
@@ -163,8 +224,12 @@ def count_pairs(texts: DataFrame, shards: int) -> DataFrame:
 STATS = "shard int, right_shard int, data binary, total long, kinds long, ones long, twos long, threes long, fours long"
 
 
-def merge_shards(parts: DataFrame, path: str, shards: int) -> DataFrame:
-    """Write each shard's arrays; rows of its counts of counts, and of its right words for the second round."""
+#: In the place of a right shard: a shard's counts of counts; its parts of hot words' totals.
+COUNTS, HOT = -1, -2
+
+
+def merge_shards(parts: DataFrame, path: str, shards: int, hot: Hot = NO_HOT) -> DataFrame:
+    """Write each shard's arrays; rows of its counts of counts, of hot words, and of right words for the second round."""
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shard, data = int(key[0]), pdf["data"]
@@ -173,14 +238,18 @@ def merge_shards(parts: DataFrame, path: str, shards: int) -> DataFrame:
         add = lambda x: np.add.reduceat(x.astype(U64), first)
         by_key = np.argsort(keys := mixed(left, right))
         big = n[by_key] >= 255
+        words, counts = left[first], np.stack([add(n), add(n == 1), add(n == 2), add(n > 2)], axis=1)
+        is_hot = found(hot[0], words)[1]
         _save(f"{path}/left-{shard:06d}", {
-            "words": left[first], "counts": np.stack([add(n), add(n == 1), add(n == 2), add(n > 2)], axis=1),
+            "words": words[~is_hot], "counts": counts[~is_hot],
             "pairs": keys[by_key], "n": np.minimum(n[by_key], 255).astype(np.uint8), "big": keys[by_key][big], "big_n": n[by_key][big],
         })
         rights, befores = np.unique(right, return_counts=True)
         place = (rights * U64(shards) >> U64(RIGHT_BITS)).astype(np.int64)
         cut = np.searchsorted(place, np.arange(shards + 1))
-        rows = [(shard, -1, b"", int(n.sum()), len(first), *[int((n == k).sum()) for k in (1, 2, 3, 4)])]
+        rows = [(shard, COUNTS, b"", int(n.sum()), int((~is_hot).sum()), *[int((n == k).sum()) for k in (1, 2, 3, 4)])]
+        if is_hot.any():
+            rows.append((shard, HOT, words[is_hot].tobytes() + counts[is_hot].tobytes(), 0, 0, 0, 0, 0, 0))
         rows += [(shard, s, rights[a:b].tobytes() + befores[a:b].astype(U64).tobytes(), 0, 0, 0, 0, 0, 0) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in STATS.split(", ")])
 
@@ -229,21 +298,15 @@ class Model:
             if int(shard[a]) in present:
                 yield int(shard[a]), slice(a, b)
 
-    @staticmethod
-    def find(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in sorted values, and whether each is there."""
-        if not len(values):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
-        return at, values[at] == wanted
-
     def words(self, left: np.ndarray) -> np.ndarray:
         """Totals and counts of ones, twos and more, of sorted words: (n, 4)."""
         out = np.zeros((len(left), 4))
         for s, part in self.by_shard(shard_of(left, self.info["shards"]), self.info["left"]):
-            at, there = self.find(self.array(f"left-{s:06d}/words", U64), left[part])
+            at, there = found(self.array(f"left-{s:06d}/words", U64), left[part])
             rows = self.array(f"left-{s:06d}/counts", U64).reshape(-1, 4)[at].astype(float)
             out[part] = rows * there[:, None]
+        at, there = found(self.info["hot"][0], left)
+        out[there] = self.info["hot_counts"][at[there]]
         return out
 
     def lower(self, right: np.ndarray) -> np.ndarray:
@@ -251,7 +314,7 @@ class Model:
         i = self.info
         n = np.zeros(len(right))
         for s, part in self.by_shard((right * U64(i["shards"]) >> U64(RIGHT_BITS)).astype(np.int64), i["right"]):
-            at, there = self.find(self.array(f"right-{s:06d}/words", U64), right[part])
+            at, there = found(self.array(f"right-{s:06d}/words", U64), right[part])
             n[part] = self.array(f"right-{s:06d}/n", U64)[at] * there
         if not i["q_total"]:
             return np.ones(len(right))
@@ -259,21 +322,20 @@ class Model:
         return np.maximum(n - d[np.minimum(n, 3).astype(int)], 0) / i["q_total"] + i["q_left"] / (i["vocabulary"] + 1)
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Counts of pairs sorted by left word."""
-        out = np.zeros(len(left))
-        keys = mixed(left, right)
-        for s, part in self.by_shard(shard_of(left, self.info["shards"]), self.info["left"]):
-            wanted = keys[part]
-            o = np.argsort(wanted)  # in order, neighbours share pages
-            name = f"left-{s:06d}"
-            at, there = self.find(self.array(f"{name}/pairs", U64), wanted[o])
+        """Counts of pairs."""
+        shard, keys = places(left, right, self.info["shards"], self.info["hot"]), mixed(left, right)
+        by = np.lexsort((keys, shard))  # in order, neighbours share pages
+        own = np.zeros(len(left))
+        for s, part in self.by_shard(shard[by], self.info["left"]):
+            wanted, name = keys[by[part]], f"left-{s:06d}"
+            at, there = found(self.array(f"{name}/pairs", U64), wanted)
             n = self.array(f"{name}/n", np.uint8)[at].astype(float) * there
             if (big := n == 255).any():
-                where, _ = self.find(self.array(f"{name}/big", U64), wanted[o][big])
+                where, _ = found(self.array(f"{name}/big", U64), wanted[big])
                 n[big] = self.array(f"{name}/big_n", U64)[where]
-            own = np.empty(len(o))
-            own[o] = n
-            out[part] = own
+            own[part] = n
+        out = np.empty(len(left))
+        out[by] = own
         return out
 
     def score(self, texts: list[str]) -> pd.DataFrame:
@@ -294,9 +356,7 @@ class Model:
         q = self.lower(low)[low_at]
         where = np.empty(len(left), np.int64)
         where[1:], where[first] = at[:-2], at[-1]
-        order = np.argsort(where, kind="stable")  # by left word
-        n = np.empty(len(left))
-        n[order] = self.pairs(left[order], right[order])
+        n = self.pairs(left, right)
         total = counts[where, 0]
         d = np.array(i["discounts"])
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -311,8 +371,14 @@ def train(texts: DataFrame) -> tuple[str, dict]:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     path = fresh_path(spark, "ngrams")
-    stats = written(merge_shards(count_pairs(texts, shards), path, shards), "ngram-stats")
-    left = stats.filter("right_shard < 0").select("shard", "total", "kinds", "ones", "twos", "threes", "fours").collect()
+    hot = hot_words(texts, shards)
+    stats = written(merge_shards(count_pairs(texts, shards, hot), path, shards, hot), "ngram-stats")
+    hot_counts = np.zeros((len(hot[0]), 4))
+    for r in stats.filter(F.col("right_shard") == HOT).select("data").collect():
+        x = np.frombuffer(r["data"], U64)
+        at, _ = found(hot[0], x[: len(x) // 5])
+        hot_counts[at] += x[len(x) // 5 :].reshape(-1, 4)
+    left = stats.filter(F.col("right_shard") == COUNTS).select("shard", "total", "kinds", "ones", "twos", "threes", "fours").collect()
     release_shuffles(spark)
     rights = written(merge_rights(stats.filter("right_shard >= 0").select("right_shard", "data"), path), "ngram-rights").collect()
     of = lambda rows, k: sum(r[k] for r in rows)
@@ -320,9 +386,9 @@ def train(texts: DataFrame) -> tuple[str, dict]:
     q_total, kinds = of(rights, "total"), of(rights, "kinds")
     qd = discounts(*q)
     more = kinds - q[0] - q[1]
-    words = of(left, "kinds")  # every word but the end stands on the left, as does the start, once for each text
+    words = of(left, "kinds") + int((hot_counts[:, 0] > 0).sum())  # every word but the end stands on the left, as does the start, once for each text
     info = {
-        "shards": shards, "left": {r["shard"] for r in left}, "right": {r["right_shard"] for r in stats.filter("right_shard >= 0").select("right_shard").distinct().collect()},
+        "shards": shards, "hot": hot, "hot_counts": hot_counts, "left": {r["shard"] for r in left}, "right": {r["right_shard"] for r in stats.filter("right_shard >= 0").select("right_shard").distinct().collect()},
         "tokens": of(left, "total"), "vocabulary": words, "discounts": discounts(*[of(left, k) for k in ("ones", "twos", "threes", "fours")]),
         "q_total": q_total, "q_discounts": qd, "q_left": (qd[1] * q[0] + qd[2] * q[1] + qd[3] * more) / q_total if q_total else 1.0,
     }

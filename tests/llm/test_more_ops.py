@@ -97,6 +97,24 @@ def test_many_shards_score_alike(spark, awkward, monkeypatch):
     assert {(i, round(s, 6)) for i, s in one} == {(i, round(s, 6)) for i, s in many}
 
 
+def test_hot_left_words_are_dealt_over_shards(spark, monkeypatch):
+    """A left word with a third of all tokens, before ever new words: shards stay even, and scores are those of one shard."""
+    texts = [" ".join(f"hot w{i}x{j} cold" for j in range(40)) for i in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path, info = kneser_ney.train(docs.select("text"))
+    one = sorted(kneser_ney.scored(docs, path, info).collect())
+    assert not len(info["hot"][0])
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", sum(map(len, texts)) // 16)
+    path, info = kneser_ney.train(docs.select("text"))
+    hot, cold, end = kneser_ney.hashes([b"hot", b"cold"])
+    assert {hot, cold} <= set(info["hot"][0]) and end == kneser_ney.END
+    assert info["hot_counts"][list(info["hot"][0]).index(hot)].tolist() == [6000, 6000, 0, 0]
+    sizes = [len(kneser_ney._map(f"{path}/left-{s:06d}/pairs", kneser_ney.U64)) for s in info["left"]]
+    assert sum(sizes) >= 12000 and max(sizes) < 0.2 * sum(sizes)
+    many = sorted(kneser_ney.scored(docs, path, info).collect())
+    assert all(a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-9) for a, b in zip(one, many, strict=True))
+
+
 def test_held_out_beats_base(spark):
     rows = kneser_ney.op7_kneser_ney(spark, "/root/testdata/sf0.01").filter("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert rows["s"] > rows["b"]
