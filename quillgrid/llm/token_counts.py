@@ -60,7 +60,7 @@ def frequent(docs: DataFrame, text: str = "text", n: int = FREQUENT) -> list[str
     rows = docs.filter(F.col(text).isNotNull()).select(pre.alias("pre"), (F.spark_partition_id() % GROUPS).alias("part")).filter(F.length("pre") <= KEPT_CHARS)
     # grouped throughout: without pre-tokens there is no sketch, and no empty one to estimate from
     parts = rows.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(pre, {TRACKED})").alias("sketch"))
-    top = parts.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch")).select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {n})")).alias("x"))
+    top = parts.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch")).select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {n})")).alias("x"))
     return sorted(r["item"] for r in top.select("x.item").collect())
 
 
