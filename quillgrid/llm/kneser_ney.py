@@ -253,10 +253,10 @@ def merge_shards(parts: DataFrame, path: str, shards: int, hot: Hot = NO_HOT) ->
         rows += [(shard, s, rights[a:b].tobytes() + befores[a:b].astype(U64).tobytes(), 0, 0, 0, 0, 0, 0) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in STATS.split(", ")])
 
-    return parts.groupBy("shard").applyInPandas(merge, STATS)
+    return parts.repartition(shards, "shard").groupBy("shard").applyInPandas(merge, STATS)
 
 
-def merge_rights(rows: DataFrame, path: str) -> DataFrame:
+def merge_rights(rows: DataFrame, path: str, shards: int) -> DataFrame:
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         both = [np.frombuffer(d, U64).reshape(2, -1) for d in pdf["data"]]
         words, befores = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
@@ -267,7 +267,7 @@ def merge_rights(rows: DataFrame, path: str) -> DataFrame:
         _save(f"{path}/right-{int(key[0]):06d}", {"words": words[first], "n": n})
         return pd.DataFrame([(int(n.sum()), len(n), *[int((n == k).sum()) for k in (1, 2, 3)], int((n == 4).sum()))], columns=["total", "kinds", "ones", "twos", "threes", "fours"])
 
-    return rows.groupBy("right_shard").applyInPandas(merge, "total long, kinds long, ones long, twos long, threes long, fours long")
+    return rows.repartition(shards, "right_shard").groupBy("right_shard").applyInPandas(merge, "total long, kinds long, ones long, twos long, threes long, fours long")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -380,7 +380,7 @@ def train(texts: DataFrame) -> tuple[str, dict]:
         hot_counts[at] += x[len(x) // 5 :].reshape(-1, 4)
     left = stats.filter(F.col("right_shard") == COUNTS).select("shard", "total", "kinds", "ones", "twos", "threes", "fours").collect()
     release_shuffles(spark)
-    rights = written(merge_rights(stats.filter("right_shard >= 0").select("right_shard", "data"), path), "ngram-rights").collect()
+    rights = written(merge_rights(stats.filter("right_shard >= 0").select("right_shard", "data"), path, shards), "ngram-rights").collect()
     of = lambda rows, k: sum(r[k] for r in rows)
     q = [of(rights, k) for k in ("ones", "twos", "threes", "fours")]
     q_total, kinds = of(rights, "total"), of(rights, "kinds")
