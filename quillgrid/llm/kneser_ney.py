@@ -35,7 +35,7 @@ END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949C7D23E6D1B2B)
 RIGHT_BITS = 40
 RIGHT_MASK = np.uint64((1 << RIGHT_BITS) - 1)
 #: Tokens that a task counts at once; bytes of text for each shard; tokens scored at once.
-TOKENS, SHARD_BYTES, SCORED = 4_000_000, 48 << 20, 1_000_000
+TOKENS, SHARD_BYTES, SCORED = 2_000_000, 24 << 20, 1_000_000
 #: Parts of a shard's size into which a hot word's pairs are cut; the least share of the tokens that makes a word hot.
 HOT_PARTS, HOT_SHARE = 4, 1e-6
 U64 = np.uint64
@@ -65,7 +65,8 @@ def shard_of(left: np.ndarray, shards: int) -> np.ndarray:
     return ((left >> U64(40)) * U64(shards) >> U64(24)).astype(np.int64)
 
 
-Hot = tuple[np.ndarray, np.ndarray]
+Hot = Pair = tuple[np.ndarray, np.ndarray]
+START_ONLY = np.array([START], U64)
 NO_HOT: Hot = (np.zeros(0, U64), np.zeros(0, U64))
 
 
@@ -88,22 +89,25 @@ def found(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, values[at] == wanted
 
 
-def batches_of_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarray]]:
-    """The texts' hashes, TOKENS or somewhat more at a time."""
+def joined(held: list[np.ndarray]) -> Pair:
+    """Left and right words of the texts of ``held``, which is emptied, so that they are in memory once."""
+    left, right = np.concatenate([x for h in held for x in (START_ONLY, h[:-1])]), np.concatenate(held)
+    held.clear()
+    return left, right
+
+
+def pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[Pair]:
+    """Left and right words of the texts, TOKENS or somewhat more at a time."""
     held, size = [], 0
     for batch in batches:
         for text in batch["text"]:
             held.append(hashes(tokens(text)))
             size += len(held[-1])
             if size >= TOKENS:
-                yield held
-                held, size = [], 0
+                size = 0
+                yield joined(held)
     if held:
-        yield held
-
-
-def lefts(held: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([np.concatenate([[START], h[:-1]]) for h in held])
+        yield joined(held)
 
 
 def hot_words(texts: DataFrame, shards: int) -> Hot:
@@ -115,8 +119,8 @@ def hot_words(texts: DataFrame, shards: int) -> Hot:
     least = max(1 / (HOT_PARTS * shards), HOT_SHARE)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for held in batches_of_hashes(batches):
-            words, n = np.unique(lefts(held), return_counts=True)
+        for left, _ in pairs_of(batches):
+            words, n = np.unique(left, return_counts=True)
             total = int(n.sum())
             keep = n >= least * total / 2
             yield pd.DataFrame({"word": np.append(words[keep].view(np.int64), 0), "n": np.append(n[keep], 0), "total": np.append(np.zeros(keep.sum(), np.int64), total)})
@@ -208,9 +212,8 @@ def count_pairs(texts: DataFrame, shards: int, hot: Hot = NO_HOT) -> DataFrame:
     """(shard, data): packed pair counts of each task's texts."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for held in batches_of_hashes(batches):
-            left, right = lefts(held), np.concatenate(held) & RIGHT_MASK
-            left, right, n = _sum_equal(left, right, np.ones(len(left), U64))
+        for left, right in pairs_of(batches):
+            left, right, n = _sum_equal(left, right & RIGHT_MASK, np.ones(len(left), U64))
             shard = places(left, right, shards, hot)
             by = np.argsort(shard, kind="stable")
             left, right, n = left[by], right[by], n[by]
