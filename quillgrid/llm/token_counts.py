@@ -73,10 +73,10 @@ def lengths(path: str, pres: list[str]) -> dict[str, int]:
 
 
 class Counter:
-    """Counts in one worker: the broadcast table, then the cache, then the library."""
+    """Counts in one worker: the broadcast table, with the cache in one dictionary, then the library."""
 
     def __init__(self, path: str, frequent: dict[str, int]):
-        self.tokenizer, self.frequent, self.seen = _load(path), frequent, {}
+        self.tokenizer, self.frequent, self.known = _load(path), frequent, dict(frequent)
         self.cut, self.safe = regex.compile(PRE_TOKEN).findall, regex.compile(SAFE).fullmatch
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -84,13 +84,13 @@ class Counter:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def miss(self, pre: str) -> int:
-        n = self.seen.get(pre)
+        n = self.known.get(pre)
         if n is None:
             n = self.whole(pre)
             if len(pre) <= KEPT_CHARS:
-                if len(self.seen) >= CACHE_ENTRIES:
-                    self.seen.clear()
-                self.seen[pre] = n
+                if len(self.known) >= len(self.frequent) + CACHE_ENTRIES:
+                    self.known = dict(self.frequent)
+                self.known[pre] = n
         return n
 
     def count(self, text: str | None) -> int:
@@ -99,7 +99,7 @@ class Counter:
         if not self.safe(text) or any(s in text for s in self.special):
             return self.whole(text)
         pres = self.cut(text)
-        got = list(map(self.frequent.get, pres))
+        got = list(map(self.known.get, pres))
         if None not in got:
             return sum(got)
         miss, n = self.miss, 0
