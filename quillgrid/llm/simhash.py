@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, table, trimming, written
 from .graph import components
 
 RADIUS, BITS, SEED = 2, 64, 42
@@ -38,6 +38,7 @@ def fingerprint(text: str | None, words: int) -> int:
 
 def with_fingerprints(docs: DataFrame, words: int = 3, text: str = "text", name: str = "fp") -> DataFrame:
     @F.pandas_udf("long")
+    @trimming
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
@@ -103,7 +104,8 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(b" ".join(tokens[i : i + words]), SEED) for i in range(max(1, len(tokens) - words + 1))] if tokens else [], np.uint64)
+    n = max(1, len(tokens) - words + 1) if tokens else 0
+    return np.fromiter((digest(b" ".join(tokens[i : i + words]), SEED) for i in range(n)), np.uint64, n)
 
 
 def signature(hashes: np.ndarray) -> bytes:
@@ -253,16 +255,16 @@ def rest_links(members: DataFrame, roots: DataFrame, nodes: DataFrame, least: fl
                 yield pd.DataFrame(found, columns=["a", "b"])
 
     if similarity is None:
-        return dealt.mapInPandas(joined, "a long, b long").distinct()
+        return dealt.mapInPandas(trimming(joined), "a long, b long").distinct()
 
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in of_units(batches):
             if found := [x for i, at in close_pairs(group, least) if len(at) for x in (i, *at.tolist())]:
                 yield group.iloc[np.unique(found)][["unit", "side", "band", "node", "root"]]
 
-    near = written(dealt.mapInPandas(close, "unit long, side int, band int, node long, root long"), "close")
+    near = written(dealt.mapInPandas(trimming(close), "unit long, side int, band int, node long, root long"), "close")
     sets = written(sets_of(near.select("node").distinct()), "sets")
-    return by_unit(near.join(nodes.select("node", "sig"), "node").join(sets, "node")).mapInPandas(joined, "a long, b long").distinct()
+    return by_unit(near.join(nodes.select("node", "sig"), "node").join(sets, "node")).mapInPandas(trimming(joined), "a long, b long").distinct()
 
 
 def near_roots(nodes: DataFrame, least: float, linked: Callable[[DataFrame], DataFrame], similarity: float | None = None, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -305,6 +307,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, word
     """
 
     @F.pandas_udf("fp long, sig binary, node long")
+    @trimming
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, forget_tables, release_shuffles, table, tables_so_far, text_or_empty, written
+from .common import WORD, forget_tables, release_shuffles, table, tables_so_far, text_or_empty, trimming, written
 
 LENGTH, MER = 400, 32
 #: Words of the least repeated passage that the pipeline's stage removes, whatever its bytes; bytes of a word's code.
@@ -164,7 +164,7 @@ def text_runs(docs: DataFrame, length: int = LENGTH, encode: Callable[[str], byt
                 cols = [np.concatenate(x) for x in zip(*out, strict=True)]
                 yield pd.DataFrame(dict(zip(("text_key", "first", "end", "key", "body", "folded"), cols, strict=True)))
 
-    return docs.select("text").mapInPandas(found, RUNS)
+    return docs.select("text").mapInPandas(trimming(found), RUNS)
 
 
 class Level:
@@ -330,7 +330,7 @@ def compare_runs(bodies: DataFrame, parts: int, length: int = LENGTH) -> DataFra
             out.append([{"a": a, "b": b} for a, b in intervals(flags)])
         return pd.Series(out, dtype=object)
 
-    found = bodies.repartition(parts, "route").mapInPandas(compared, MATCHES)
+    found = bodies.repartition(parts, "route").mapInPandas(trimming(compared), MATCHES)
     found = found.groupBy("key", "body").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return found.select("key", "body", joined("spans").alias("spans"))
 
@@ -364,7 +364,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, encode: Callable[[str],
             yield pd.DataFrame(out, columns=["route", "key", "body", "data", "starts"])
 
     # a text may stand in many rows: of its copies one is cut
-    data = texts.dropDuplicates(["text_key"]).select("text", "cuts").mapInPandas(cut, ROUTED)
+    data = texts.dropDuplicates(["text_key"]).select("text", "cuts").mapInPandas(trimming(cut), ROUTED)
     matched = compare_runs(data, max(1, -(-size // SHARE)), length)
     often = distinct.filter("n > 1").select("key", "body", F.array(F.struct(F.lit(0).alias("a"), (F.col("end") - F.col("first")).alias("b"))).alias("spans"))
     matched = matched.join(often.select("key", "body"), ["key", "body"], "left_anti").unionByName(often)
