@@ -319,8 +319,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, word
                 found.append((bits_of(h), signature(h), _signed(node)) if len(h) else (0, None, 0))
             yield pd.DataFrame(found, columns=["fp", "sig", "node"])
 
-    rows = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), prints("text").alias("p")).filter("p.sig is not null")
-    rows = written(rows.select("doc_id", "text_hash", "p.fp", "p.sig", "p.node"), "signatures")
+    rows = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), prints("text").alias("p"))
+    # filtered as read again: a filter above the function would run it once more, in a worker of its own
+    rows = written(rows.select("doc_id", "text_hash", "p.fp", "p.sig", "p.node"), "signatures").filter("sig is not null")
     one = F.min(F.struct("text_hash", "fp", "sig")).alias("one")
     nodes = written(rows.groupBy("node").agg(one).select("node", "one.*"), "nodes")
     least = similarity - SLACK
