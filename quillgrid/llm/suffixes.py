@@ -427,25 +427,32 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     forget_tables(worded, before)
 
     @F.pandas_udf("string")
-    def kept(texts: pd.Series, spans: pd.Series, worded: pd.Series) -> pd.Series:
-        out = []
-        for text, own, words in zip(texts, spans, worded, strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            whole = []
-            for s in sorted([*own, *uncoded(data, words)], key=lambda s: (s["a"], s["b"])):
-                a, b = s["a"], s["b"]
-                while a < b and data[a] & 0xC0 == 0x80:
-                    a += 1
-                while b < len(data) and b > a and data[b] & 0xC0 == 0x80:
-                    b -= 1
-                whole.append({"a": a, "b": b})
-            out.append(cut_out(data, whole)[0].decode("utf-8", "surrogatepass"))
-        return pd.Series(out, dtype=object)
+    @trimming
+    def kept(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, spans, worded in batches:
+            out = []
+            for text, own, words in zip(texts, spans, worded, strict=True):
+                if text is None:
+                    out.append(None)
+                    continue
+                data = plain(text)
+                whole = []
+                for s in sorted([*own, *uncoded(data, words)], key=lambda s: (s["a"], s["b"])):
+                    a, b = s["a"], s["b"]
+                    while a < b and data[a] & 0xC0 == 0x80:
+                        a += 1
+                    while b < len(data) and b > a and data[b] & 0xC0 == 0x80:
+                        b -= 1
+                    whole.append({"a": a, "b": b})
+                out.append(cut_out(data, whole)[0].decode("utf-8", "surrogatepass"))
+            yield pd.Series(out, dtype=object)
 
     row = docs.select(F.struct(*docs.columns).alias("sd_row"), F.unhex(F.md5(text_or_empty())).alias("text_key"))
     joined = row.join(spans, "text_key", "left").join(worded, "text_key", "left")
     or_none = lambda name: F.coalesce(name, F.array().cast("array<struct<a:int,b:int>>"))
-    text = F.when(F.coalesce("spans", "worded").isNull(), F.col("sd_row.text")).otherwise(kept(F.coalesce("sd_row.text", F.lit("")), or_none("spans"), or_none("worded")))
+    cut, whole = F.coalesce("spans", "worded").isNotNull(), F.col("sd_row.text")
+    # only the texts that lose something go to Python: both branches are evaluated for every row
+    text = F.when(cut, kept(F.when(cut, whole), or_none("spans"), or_none("worded"))).otherwise(whole)
     out = joined.select("sd_row", text.alias("sd_text"))
     cols = {"text": F.col("sd_text"), "n_chars": F.when(F.col("sd_text").eqNullSafe(F.col("sd_row.text")), F.col("sd_row.n_chars")).otherwise(F.length("sd_text").cast("long"))}
     return out.select(*[cols.get(c, F.col(f"sd_row.`{c}`")).alias(c) for c in docs.columns])
