@@ -112,6 +112,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches to BATCH_BYTES, where Spark's own bounds are 10,000 rows and 64 MB.
+
+    For the session, as a stage's result runs after the stage has returned; a session's own setting stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def give_back() -> None:
     """Return a Python worker's freed memory to the system; idle workers would hold it beside the next stage's."""
     import ctypes

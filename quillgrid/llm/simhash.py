@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table, trimming, written
+from .common import WORD, small_batches, table, trimming, written
 from .graph import components
 
 RADIUS, BITS, SEED = 2, 64, 42
@@ -305,6 +305,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, word
     or more.  Min-hashes give the candidates; the sets decide.  Rows without a word, or with a null id, all stay; so do
     repeats of the row that stays.  Of different texts under one id each is judged by itself.
     """
+    small_batches(spark)
 
     @F.pandas_udf("fp long, sig binary, node long")
     @trimming

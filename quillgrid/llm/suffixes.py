@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, forget_tables, release_shuffles, table, tables_so_far, text_or_empty, trimming, written
+from .common import WORD, forget_tables, release_shuffles, small_batches, table, tables_so_far, text_or_empty, trimming, written
 
 LENGTH, MER = 400, 32
 #: Words of the least repeated passage that the pipeline's stage removes, whatever its bytes; bytes of a word's code.
@@ -418,6 +418,7 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Each removed run shrinks to whole characters; n_chars follows.
     Only passages go, never rows.  Null texts stay null.
     """
+    small_batches(spark)
     texts = docs.select(text_or_empty().alias("text"))
     before = tables_so_far()
     spans = written(removed_spans(texts), "spans")
