@@ -2,15 +2,19 @@
 
 import asyncio
 import time
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillgrid.functions.enums import Enum, is_enum, is_enum_value
 from quillgrid.functions.text import taggify
 from quillgrid.operators import aggregate as A
 from quillgrid.operators import diff as D
+from quillgrid.operators.query import View
 from quillgrid.plans import ir
-from quillgrid.plans.ir import Type, no
+from quillgrid.plans.ir import Ids, Type, no
 from quillgrid.plans.reflection import Registry, complete_with, immutable, noted
 from quillgrid.sources.prefix import Workspace
 
@@ -171,3 +175,33 @@ def test_find_without_criteria_and_pick(spark, ws):
     assert v.find(Type("thing"))[0, 4] == [4, 0] and ids(v.find(Type("thing"), no(v.find()))) == list(range(5))
     with pytest.raises(IndexError):
         v.find(Type("thing"))[5]
+
+
+def test_join_deals_one_tag_objects_tuples_over_tasks(spark, tmp_path):
+    """A tag object with more members than blocks hold: every tuple as often as its tags, and no task makes most of them."""
+    n = {"a": 600, "b": 2, "c": 1100}
+    types = {t: spark.range(1000 * i, 1000 * i + k, 1, 1).select(F.col("id").alias("oid")) for i, (t, k) in zip((1, 3, 5), n.items(), strict=True)}
+    types["key"] = spark.createDataFrame([(7,), (8,)], "oid long")
+    extra = spark.createDataFrame([(1000, "8"), (3000, "8"), (3000, "8"), (5000, "8")], "oid long, key string")  # 3000 carries 8 twice
+    tags = reduce(DataFrame.union, [types[t].select("oid", F.lit("7").alias("key")) for t in n], extra)
+    tags.select("oid", F.lit("obj").alias("kind"), F.lit("").alias("scope"), "key").coalesce(1).write.parquet(f"{tmp_path}/tags")
+    v = View(types, spark.read.parquet(f"{tmp_path}/tags"))
+    out = v.join(*map(Type, n), on=v.find(Type("key")))
+    got = out.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in got) == 600 * 2 * 1100 + 2
+    assert max(r["count"] for r in got) <= 256 * 2 * 1024
+    often = out.groupBy("oid_1", "oid_2", "oid_3").count().groupBy("count").agg(F.count("*").alias("n"), F.sum("oid_1"), F.sum("oid_2"), F.sum("oid_3")).collect()
+    s = [sum(range(b, b + k)) for b, k in zip((1000, 3000, 5000), n.values(), strict=True)]
+    assert sorted(map(tuple, often)) == [
+        (1, 600 * 2 * 1100 - 1, s[0] * 2200 - 1000, s[1] * 660_000 - 3000, s[2] * 1200 - 5000),
+        (3, 1, 1000, 3000, 5000),
+    ]
+
+
+def test_join_of_one_side_and_of_none_found(spark):
+    objects = spark.createDataFrame([(1,), (2,), (3,)], "oid long")
+    tags = spark.createDataFrame([(1, "obj", "", "9"), (2, "obj", "", "9"), (3, "obj", "", "4")], "oid long, kind string, scope string, key string")
+    v = View({"a": objects, "key": spark.createDataFrame([(9,)], "oid long")}, tags)
+    on = v.find(Type("key"))
+    assert sorted(r.oid_1 for r in v.join(Type("a"), on=on).collect()) == [1, 2]
+    assert v.join(Type("a"), Type("a"), on=v.find(Type("key"), Ids((8,)))).isEmpty()
